@@ -128,16 +128,20 @@ def bootstrap_ratio(spark, sf):
 KM_REPS = 20
 
 
+_REPLICATE = {k: v.replace("size_group, estimand", "rep, size_group, estimand") for k, v in STEPS.items() if k in ("risk_rows", "km", "kmp")}
+
+
 @query(
     "bootstrap_km",
     with_tables(
         interval_sql("vals", "size_group, estimand"),
         **mult_sql(KM_REPS),
-        **{k: v.replace("size_group, estimand", "rep, size_group, estimand") for k, v in STEPS.items() if k != "sized"},
-        sized=STEPS["sized"].replace("u.size_group", "u.size_group, m.rep, m.copies").replace("WHERE base", "JOIN mult m USING (image_id) WHERE base"),
-    ).replace("SUM(sampling_weight) AS leaving, SUM(sampling_weight * observed)", "SUM(copies * sampling_weight) AS leaving, SUM(copies * sampling_weight * observed)")
-    .replace("rep, size_group, estimand, sampling_weight, observed, COALESCE", "rep, size_group, estimand, copies, sampling_weight, observed, COALESCE")
-    .replace("FROM vals", "FROM (SELECT rep, size_group, estimand, 0.125e0 - SUM(CASE WHEN time <= 0.125 + 1e-12 THEN (s0 - s) * (0.125e0 - time) ELSE 0 END) AS value FROM kmp GROUP BY ALL) vals"),
+        **_REPLICATE,
+        sized=STEPS["sized"],
+        times="""SELECT rep, size_group, estimand, COALESCE(radius, censor) AS time, SUM(copies * sampling_weight) AS leaving, SUM(copies * sampling_weight * observed) AS d
+ FROM sized JOIN mult USING (image_id) GROUP BY ALL""",
+        vals="""SELECT rep, size_group, estimand, 0.125e0 - SUM(CASE WHEN time <= 0.125 + 1e-12 THEN (s0 - s) * (0.125e0 - time) ELSE 0 END) AS value FROM kmp GROUP BY ALL""",
+    ),
 )
 def bootstrap_km(spark, sf):
     """Bootstrap interval of the restricted mean per size and estimand.
