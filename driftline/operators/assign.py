@@ -265,3 +265,106 @@ def shared_claims(claimed: DataFrame) -> DataFrame:
     b = claimed.select(IMAGE, CAND, F.col(GT).alias("neighbor_gt"))
     pairs = a.join(b, [IMAGE, CAND]).filter("focal_gt <> neighbor_gt")
     return pairs.groupBy(IMAGE, "focal_gt", "neighbor_gt").agg(F.count("*").alias("n_shared"))
+
+
+# ---- spillover to neighbours -------------------------------------------------------------------------------------
+
+
+def changed_ownership(base_flagged: DataFrame, base_owned: DataFrame, mine: DataFrame, moved: DataFrame, *, extra: Sequence[str]) -> DataFrame:
+    """Candidates whose owner changes when one object moves: (image, focal gt, extra, candidate, before, after).
+
+    Only candidates that the focal object can reach before or after the move are looked at.
+    """
+    key = [IMAGE, GT, *extra]
+    before = base_flagged.select(IMAGE, GT, CAND, "claimed").join(moved.select(*key), [IMAGE, GT])
+    before = before.select(*key, CAND, F.col("claimed").alias("_was"))
+    after = mine.select(*key, CAND, "c", F.col("claimed").alias("_is"), F.lit(True).alias("_reach"))
+    both = before.join(after, [*key, CAND], "full_outer").na.fill(False, ["_was", "_is", "_reach"])
+    summary = candidate_summary(base_flagged)
+    claim_sum = base_flagged.filter("claimed").groupBy(IMAGE, CAND).agg(F.sum(GT).alias("_gts"))
+    summary = summary.join(claim_sum, [IMAGE, CAND], "left").select(IMAGE, CAND, F.col("n_claims").alias("_n"), "top1", "top2", F.coalesce("_gts", F.lit(0)).alias("_gts"))
+    own = base_owned.select(IMAGE, CAND, F.col(GT).alias("before_gt"))
+    first = base_flagged.groupBy(IMAGE, CAND).agg(F.min("first_gt").alias("_first"))
+    rows = both.join(summary.join(first, [IMAGE, CAND]), [IMAGE, CAND], "left").join(own, [IMAGE, CAND], "left")
+    focal = F.col(GT)
+    others = F.coalesce("_n", F.lit(0)) - F.col("_was").cast("int")
+    # With exactly one other claimant, its id is the sum of the claimants' ids less the focal one.
+    other = F.coalesce("_gts", F.lit(0)) - F.when(F.col("_was"), focal).otherwise(0)
+    rival = F.when(F.col("top1.g") == focal, F.col("top2")).otherwise(F.col("top1"))
+    c, rival_c = F.coalesce("c", F.lit(0.0)), F.coalesce(rival["c"], F.lit(0.0))
+    contested = (
+        F.when((c <= 0) & (rival_c <= 0), F.coalesce("_first", focal))
+        .when(c > rival_c, focal)
+        .when(c < rival_c, rival["g"])
+        .otherwise(F.least(focal, rival["g"]))
+    )
+    total = others + F.col("_is").cast("int")
+    owner = F.when(total > 1, contested).when(total == 1, F.when(F.col("_is"), focal).otherwise(other))
+    out = rows.withColumn("after_gt", owner)
+    return out.filter(~F.col("before_gt").eqNullSafe(F.col("after_gt"))).select(*key, CAND, "before_gt", "after_gt")
+
+
+def neighbour_flips(base_flagged: DataFrame, base_owned: DataFrame, base_kept: DataFrame, changes: DataFrame, *, extra: Sequence[str]) -> DataFrame:
+    """Neighbours whose active candidate changes: (image, focal gt, extra, neighbor_gt). Unaffected neighbours never appear."""
+    key = [IMAGE, GT, *extra]
+    lost = changes.filter(F.col("before_gt").isNotNull() & (F.col("before_gt") != F.col(GT))).select(*key, F.col("before_gt").alias("neighbor_gt"), CAND, F.lit(-1).alias("_s"))
+    won = changes.filter(F.col("after_gt").isNotNull() & (F.col("after_gt") != F.col(GT))).select(*key, F.col("after_gt").alias("neighbor_gt"), CAND, F.lit(1).alias("_s"))
+    moves = lost.unionByName(won)
+    pair = base_flagged.select(IMAGE, F.col(GT).alias("neighbor_gt"), CAND, "q", "c", "ord")
+    moves = moves.join(pair, [IMAGE, "neighbor_gt", CAND], "left").withColumns({"q": F.coalesce("q", F.lit(0.0)), "c": F.coalesce("c", F.lit(0.0))})
+    touched = moves.select(*key, "neighbor_gt").distinct()
+    held = base_owned.select(IMAGE, F.col(GT).alias("neighbor_gt"), CAND, "q", "c", "ord")
+    held = touched.join(held, [IMAGE, "neighbor_gt"]).withColumn("_s", F.lit(1))
+    merged = held.unionByName(moves.select(*held.columns)).groupBy(*key, "neighbor_gt", CAND).agg(
+        F.sum("_s").alias("_s"), F.max("q").alias("q"), F.max("c").alias("c"), F.min("ord").alias("ord")
+    )
+    left = merged.filter("_s > 0").withColumn("n_claims", F.lit(1).cast("long"))
+    focal = left.withColumnRenamed(GT, "_focal").withColumnRenamed("neighbor_gt", GT)
+    best = keep_best(focal, extra=["_focal", *extra]).select(IMAGE, F.col("_focal").alias(GT), *extra, F.col(GT).alias("neighbor_gt"), F.col(CAND).alias("_after"))
+    was = base_kept.select(IMAGE, F.col(GT).alias("neighbor_gt"), F.col(CAND).alias("_before"))
+    state = touched.join(best, [*key, "neighbor_gt"], "left").join(was, [IMAGE, "neighbor_gt"], "left")
+    return state.filter(~F.col("_before").eqNullSafe(F.col("_after"))).select(*key, "neighbor_gt")
+
+
+def sharing_neighbours(base_claimed: DataFrame, shift_claimed: DataFrame, moved: DataFrame, *, extra: Sequence[str]) -> DataFrame:
+    """Neighbours that share a claim with the focal object before or after its move."""
+    key = [IMAGE, GT, *extra]
+    other = base_claimed.select(IMAGE, CAND, F.col(GT).alias("neighbor_gt"))
+    base = shared_claims(base_claimed).select(IMAGE, F.col("focal_gt").alias(GT), "neighbor_gt").join(moved.select(*key), [IMAGE, GT])
+    shift = shift_claimed.select(*key, CAND).join(other, [IMAGE, CAND]).filter(F.col(GT) != F.col("neighbor_gt"))
+    return base.select(*key, "neighbor_gt").unionByName(shift.select(*key, "neighbor_gt")).distinct()
+
+
+def local_neighbours(truth: DataFrame, threshold: float, cell: float = CELL) -> DataFrame:
+    """Object pairs nearer than ``threshold`` mean equivalent sides, met in the grid cells both neighbourhoods cover."""
+    b = F.col("box")
+    side = F.sqrt((b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
+    x, y, r = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2, F.lit(threshold / 2) * side
+    reach = truth.select(IMAGE, GT, x.alias("x"), y.alias("y"), side.alias("side"), F.struct((x - r).alias("x1"), (y - r).alias("y1"), (x + r).alias("x2"), (y + r).alias("y2")).alias("box"))
+    reach = reach.withColumn("_cell", F.explode(covered_cells(F.col("box"), cell)))
+    a = reach.select(IMAGE, "_cell", F.col(GT).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("side").alias("sa"), F.col("box").alias("ba"))
+    c = reach.select(IMAGE, "_cell", F.col(GT).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("side").alias("sb"), F.col("box").alias("bb"))
+    near = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) < F.lit(threshold) * (F.col("sa") + F.col("sb")) / 2
+    # A pair may share several cells; it counts in the one that holds the lower corner of the overlap.
+    home = (_cell(F.greatest("ba.x1", "bb.x1"), cell) == F.col("_cell.cellx")) & (_cell(F.greatest("ba.y1", "bb.y1"), cell) == F.col("_cell.celly"))
+    return a.join(c, [IMAGE, "_cell"]).filter((F.col("a") != F.col("b")) & near & home).select(IMAGE, F.col("a").alias(GT), F.col("b").alias("neighbor_gt"))
+
+
+def spillover(events: DataFrame, truth: DataFrame, shared: DataFrame, local: DataFrame, flips: DataFrame, *, extra: Sequence[str]) -> DataFrame:
+    """Neighbours and spilled neighbours of each focal event by relationship.
+
+    ``shared``, ``local`` and ``flips`` are sparse pair lists; the distant rest is counted, never listed.
+    """
+    key = [IMAGE, GT, *extra]
+    pairs = shared.withColumn("_sh", F.lit(1)).join(flips.withColumn("_fl", F.lit(1)), [*key, "neighbor_gt"], "full_outer")
+    near = local.join(events.select(*key), [IMAGE, GT]).withColumn("_lo", F.lit(1))
+    pairs = pairs.join(near, [*key, "neighbor_gt"], "full_outer").na.fill(0, ["_sh", "_fl", "_lo"])
+    sh, fl, lo = (F.col(c) == 1 for c in ("_sh", "_fl", "_lo"))
+    per = pairs.groupBy(*key).agg(
+        F.count_if(sh).alias("shared"), F.count_if(sh & fl).alias("shared_spill"),
+        F.count_if(~sh & lo).alias("local"), F.count_if(~sh & lo & fl).alias("local_spill"),
+        F.count_if(~sh & ~lo & fl).alias("distant_spill"),
+    )
+    n = truth.groupBy(IMAGE).agg((F.count("*") - 1).alias("neighbors"))
+    out = events.join(n, IMAGE).join(per, key, "left").na.fill(0, per.columns[len(key):])
+    return out.withColumn("distant", F.col("neighbors") - F.col("shared") - F.col("local"))
