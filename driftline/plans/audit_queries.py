@@ -131,11 +131,11 @@ def table_diff(spark, sf):
 
 def _rmean_sql(src: str, name: str) -> dict[str, str]:
     return {
-        f"t{name}": f"SELECT size_bin, COALESCE(o2o_radius, o2o_censor_radius) AS time, SUM({W}) AS leaving, SUM({W} * o2o_event_observed) AS d FROM {src} WHERE o2o_base_active IS NOT NULL GROUP BY ALL",
-        f"k{name}": f"""SELECT *, CASE WHEN MAX(h) OVER w >= 1 - 1e-12 THEN 0e0 ELSE EXP(SUM(LN(1 - LEAST(h, 0.9999999999999e0))) OVER w) END AS s FROM (
- SELECT *, CASE WHEN d > 0 THEN d / GREATEST(SUM(leaving) OVER (PARTITION BY size_bin ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), d) ELSE 0e0 END AS h FROM t{name}) q WINDOW w AS (PARTITION BY size_bin ORDER BY time ROWS UNBOUNDED PRECEDING)""",
-        f"m{name}": f"""SELECT size_bin, tau, tau - SUM(CASE WHEN time <= tau + 1e-12 THEN (s0 - s) * (tau - time) ELSE 0 END) AS m FROM (SELECT *, COALESCE(LAG(s) OVER (PARTITION BY size_bin ORDER BY time), 1e0) AS s0 FROM k{name}) q CROSS JOIN (SELECT UNNEST([0.0625e0, 0.125e0, 0.25e0]) AS tau) t GROUP BY size_bin, tau""",
-        f"s{name}": f"""SELECT scope, 'size_structure' AS name, CASE WHEN x > 0 THEN 'positive' WHEN x < 0 THEN 'negative' ELSE 'zero' END AS signature FROM (SELECT CAST(tau AS VARCHAR) AS scope, MAX(CASE WHEN size_bin = 't_8_16' THEN m END) - MAX(CASE WHEN size_bin = 's_16_32' THEN m END) AS x FROM m{name} GROUP BY tau) q
+        f"rm_t{name}": f"SELECT size_bin, COALESCE(o2o_radius, o2o_censor_radius) AS time, SUM({W}) AS leaving, SUM({W} * o2o_event_observed) AS d FROM {src} WHERE o2o_base_active IS NOT NULL GROUP BY ALL",
+        f"rm_k{name}": f"""SELECT *, CASE WHEN MAX(h) OVER w >= 1 - 1e-12 THEN 0e0 ELSE EXP(SUM(LN(1 - LEAST(h, 0.9999999999999e0))) OVER w) END AS s FROM (
+ SELECT *, CASE WHEN d > 0 THEN d / GREATEST(SUM(leaving) OVER (PARTITION BY size_bin ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), d) ELSE 0e0 END AS h FROM rm_t{name}) q WINDOW w AS (PARTITION BY size_bin ORDER BY time ROWS UNBOUNDED PRECEDING)""",
+        f"rm_m{name}": f"""SELECT size_bin, tau, tau - SUM(CASE WHEN time <= tau + 1e-12 THEN (s0 - s) * (tau - time) ELSE 0 END) AS m FROM (SELECT *, COALESCE(LAG(s) OVER (PARTITION BY size_bin ORDER BY time), 1e0) AS s0 FROM rm_k{name}) q CROSS JOIN (SELECT UNNEST([0.0625e0, 0.125e0, 0.25e0]) AS tau) t GROUP BY size_bin, tau""",
+        f"rm_s{name}": f"""SELECT scope, 'size_structure' AS name, CASE WHEN x > 0 THEN 'positive' WHEN x < 0 THEN 'negative' ELSE 'zero' END AS signature FROM (SELECT CAST(tau AS VARCHAR) AS scope, MAX(CASE WHEN size_bin = 't_8_16' THEN m END) - MAX(CASE WHEN size_bin = 's_16_32' THEN m END) AS x FROM rm_m{name} GROUP BY tau) q
  UNION ALL SELECT size_bin, 'dominant_cause', ARG_MAX(cause, (w, cause)) FROM (SELECT size_bin, {_CAUSE.replace('label', 'o2o_first_divergence')} AS cause, SUM({W}) AS w FROM {src} WHERE o2o_event_observed = 1 AND o2o_base_active IS NOT NULL GROUP BY ALL) c GROUP BY size_bin
  UNION ALL SELECT 'all', 'margin_sign', CASE WHEN CORR(margin, o2o_radius) > 0 THEN 'positive' ELSE 'negative' END FROM {src} WHERE o2o_event_observed = 1""",
     }
@@ -144,7 +144,7 @@ def _rmean_sql(src: str, name: str) -> dict[str, str]:
 @query(
     "freeze_signature",
     with_tables(
-        "SELECT scope, name, a.signature AS first, b.signature AS second, CASE WHEN a.signature IS NOT DISTINCT FROM b.signature THEN 'KEEP' ELSE 'CHANGED' END AS verdict FROM s1 a FULL OUTER JOIN s2 b USING (scope, name)",
+        "SELECT scope, name, a.signature AS first, b.signature AS second, CASE WHEN a.signature IS NOT DISTINCT FROM b.signature THEN 'KEEP' ELSE 'CHANGED' END AS verdict FROM rm_s1 a FULL OUTER JOIN rm_s2 b USING (scope, name)",
         **_rmean_sql("fx_rays", "1"), **_rmean_sql("fx_rays2", "2"),
     ),
 )

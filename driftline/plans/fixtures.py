@@ -197,7 +197,7 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("cy"),
         F.struct("ts", "event_id").alias("_order"),
     )
-    day = F.floor(F.unix_seconds(F.col("ts")) / 86400)
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
     return positions(e, ["track_id"], "_order", "frame", block=day).drop("_order")
 
 

@@ -72,7 +72,7 @@ def main(argv):
             else:
                 problem, n = None, qs[name](spark, sf).count()
         except Exception as e:  # report and go on
-            problem, n = f"{type(e).__name__}: {str(e)[:700]}", -1
+            problem, n = f"{type(e).__name__}: {str(e)[:300]}", -1
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'BAD '} {name} rows={n} {time.time() - start:.1f}s {'' if name in sqls else '(rows only)'} {problem or ''}", flush=True)
     print("bad:", bad)
