@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Point = tuple[float, float]
 
@@ -104,7 +105,7 @@ def _shoelace(points: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def quad_foreground(corners: pd.Series, window: pd.Series) -> pd.Series:
     """Share of a quadrilateral (8 numbers) that lies inside a window (4 numbers)."""
     out = []

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import draw32
 from .ordered import running_sums
@@ -126,7 +127,7 @@ def log_likelihood(df: DataFrame, outcome: str, prob: str, weight: str) -> Colum
     return F.sum(F.col(weight) * (y * F.ln(p) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - p)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail_one(stat: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom (one-row results)."""
     return stat.map(lambda s: math.erfc(math.sqrt(max(s, 0.0) / 2)))
