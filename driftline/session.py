@@ -14,13 +14,14 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "driftline") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "driftline", memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; a cluster job brings its own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
