@@ -71,27 +71,34 @@ def scored(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("q", alignment(F.col("p"), F.col("c")))
 
 
+def rank_pairs(pairs: DataFrame, *, extra: Sequence[str] = ()) -> DataFrame:
+    """Rank of each pair of an object by alignment, and what is needed to place zero alignments. One shuffle by object,
+    whose pairs are the anchors inside its box; the ranks serve every k.
+    """
+    obj = Window.partitionBy(IMAGE, GT, *extra)
+    positive = F.col("q") > 0
+    return pairs.withColumns(
+        {
+            "rank": F.row_number().over(obj.orderBy(F.desc("q"), CAND)),
+            "n_positive": F.count_if(positive).over(obj),
+            "head_positive": F.collect_list(F.when(positive & F.col("ord").isNotNull(), F.col(CAND))).over(obj),
+        }
+    )
+
+
 def flag_claims(pairs: DataFrame, k: int, *, extra: Sequence[str] = ()) -> DataFrame:
     """Mark the per-object top-k claims, stable by candidate index, among the eligible pairs.
 
     The ranking is over all candidates of the image. Positive alignments rank among the eligible pairs. Zero alignments
     matter only where fewer than k positives exist: the lowest-index candidates of the image fill the rest, so the head of
-    the image is enough to place them. One shuffle by object, whose pairs are the anchors inside its box.
+    the image is enough to place them.
     """
     if 2 * k > HEAD:
         raise ValueError(f"k is at most {HEAD // 2}")
-    obj = Window.partitionBy(IMAGE, GT, *extra)
-    positive = F.col("q") > 0
-    out = pairs.withColumns(
-        {
-            "rank": F.row_number().over(obj.orderBy(F.desc("q"), CAND)),
-            "_npos": F.count_if(positive).over(obj),
-            "_heads": F.collect_list(F.when(positive & F.col("ord").isNotNull(), F.col(CAND))).over(obj),
-        }
-    )
-    earlier = F.size(F.filter("_heads", lambda x: x < F.col(CAND)))
-    filled = F.col("ord").isNotNull() & (F.col("_npos") + F.col("ord") - earlier <= k)
-    return out.withColumn("claimed", F.when(positive, F.col("rank") <= k).otherwise(filled)).drop("_npos", "_heads")
+    ranked = pairs if "rank" in pairs.columns else rank_pairs(pairs, extra=extra)
+    earlier = F.size(F.filter("head_positive", lambda x: x < F.col(CAND)))
+    filled = F.col("ord").isNotNull() & (F.col("n_positive") + F.col("ord") - earlier <= k)
+    return ranked.withColumn("claimed", F.when(F.col("q") > 0, F.col("rank") <= k).otherwise(filled)).drop("n_positive", "head_positive")
 
 
 def claims(pairs: DataFrame, k: int, *, extra: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,32 +100,53 @@ def tile_merge(dets: DataFrame, tile: str, threshold: float = 0.3) -> DataFrame:
     return fast_nms(moved, threshold, similarity=probiou, shape="rot", reach=rotated_reach(F.col("rot"), threshold))
 
 
+def _suppress(pdf, threshold: float, agnostic: bool):
+    """Greedy suppression of all groups of a batch at once: in each round the first live row of every group is kept and
+    removes the rows of its group that overlap it too much. Rows are sorted by group and score.
+    """
+    keys = pdf["image_id"] if agnostic else pdf["image_id"].astype(str) + "|" + pdf["cls"].astype(str)
+    group = (keys != keys.shift()).cumsum().to_numpy()
+    b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
+    areas = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    alive, keep = np.arange(len(b)), []
+    while len(alive):
+        lead = np.r_[True, group[alive][1:] != group[alive][:-1]]
+        keep.append(alive[lead])
+        rest = alive[~lead]
+        top = alive[lead][np.cumsum(lead) - 1][~lead]
+        w = np.minimum(b[top, 2], b[rest, 2]) - np.maximum(b[top, 0], b[rest, 0])
+        h = np.minimum(b[top, 3], b[rest, 3]) - np.maximum(b[top, 1], b[rest, 1])
+        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+        union = areas[top] + areas[rest] - inter
+        alive = rest[np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) <= threshold]
+    return pdf.iloc[np.sort(np.concatenate(keep))] if keep else pdf
+
+
 def greedy_nms(dets: DataFrame, threshold: float, *, max_nms: int = 30000, max_det: int = 300, agnostic: bool = False) -> DataFrame:
     """Keep a box iff its IoU with every kept higher box is at most ``threshold``; then the ``max_det`` best per image.
 
     Greedy suppression is sequential within an image and class. The pre-suppression limit ``max_nms`` of the operator
-    bounds each group, so a group is a small block for one vectorised task, however large the image.
+    bounds each group. Groups reach a task sorted, in Arrow batches; a group cut by a batch end waits for its rest.
     """
     limited = top_detections(dets, max_nms)
     flat = limited.select("image_id", "cls", "det", "conf", *[F.col(f"box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-
-    def suppress(pdf):
-        pdf = pdf.sort_values(["conf", "det"], ascending=[False, True], kind="stable")
-        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-        areas = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive, keep = np.arange(len(b)), []
-        while len(alive):
-            i, rest = alive[0], alive[1:]
-            keep.append(i)
-            w = np.minimum(b[i, 2], b[rest, 2]) - np.maximum(b[i, 0], b[rest, 0])
-            h = np.minimum(b[i, 3], b[rest, 3]) - np.maximum(b[i, 1], b[rest, 1])
-            inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-            union = areas[i] + areas[rest] - inter
-            alive = rest[np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) <= threshold]
-        return pdf.iloc[keep]
-
     keys = ["image_id"] if agnostic else ["image_id", "cls"]
-    kept = flat.groupBy(*keys).applyInPandas(suppress, flat.schema)
+    ready = flat.repartition(*keys).sortWithinPartitions(*keys, F.desc("conf"), "det")
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(rows):
+                continue
+            open_ = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            held = rows[open_]
+            if not open_.all():
+                yield _suppress(rows[~open_], threshold, agnostic)
+        if held is not None and len(held):
+            yield _suppress(held, threshold, agnostic)
+
+    kept = ready.mapInPandas(run, flat.schema)
     out = kept.select("image_id", "cls", "det", "conf", F.struct("x1", "y1", "x2", "y2").alias("box"))
     return top_detections(out, max_det)
 

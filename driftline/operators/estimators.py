@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared
 from .ordered import running_sums
 
 TINY, SMALL = "t_8_16", "s_16_32"
@@ -178,7 +179,7 @@ def weighted_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, weight:
     by, blocks = list(by), blocks or {}
     w = F.col(weight)
     rows = df.filter(valid(F.col(x), w) & valid(F.col(y), w))
-    cells = rows.groupBy(*by, x, y).agg(F.sum(w).alias("_w"), F.count("*").alias("_n"))
+    cells = shared(rows.groupBy(*by, x, y).agg(F.sum(w).alias("_w"), F.count("*").alias("_n")))  # read three times
     rx = midranks(cells, by, x, "_w", "_rx", block=blocks.get(x))
     ry = midranks(cells, by, y, "_w", "_ry", block=blocks.get(y))
     ranked = cells.join(rx, [*by, x]).join(ry, [*by, y])

@@ -11,6 +11,7 @@ from ..functions.boxes import keypoint_similarity
 from ..operators import dataset as ds
 from ..operators import detection as dt
 from ..operators import resample as rs
+from ..session import shared
 from .estimate_queries import _round_all
 from .fixtures import candidates, gt_boxes, table
 from .geometry_queries import SIGMAS, keypoints, oks_sql, probiou_sql, visible
@@ -109,7 +110,7 @@ CUM = """SELECT d.cls, t.threshold, d.conf, ROW_NUMBER() OVER w AS rn, SUM(CASE
 def average_precision(spark, sf):
     """Interpolated average precision per class and threshold."""
     d, t = detections(spark, sf), truth(spark, sf)
-    scored = dt.scored_detections(d, matches(spark, sf))
+    scored = shared(dt.scored_detections(d, matches(spark, sf)))
     return _round_all(dt.average_precision(scored, t))
 
 
@@ -132,7 +133,7 @@ def f1_threshold(spark, sf):
     """Confidence that maximises the smoothed mean F1, with class metrics there."""
     d, t = detections(spark, sf), truth(spark, sf)
     scored = dt.scored_detections(d, matches(spark, sf), [50])
-    return _round_all(dt.best_confidence(dt.confidence_curves(scored, t)))
+    return _round_all(dt.best_confidence(shared(dt.confidence_curves(scored, t))))
 
 
 @query(

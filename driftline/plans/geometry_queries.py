@@ -9,6 +9,7 @@ from ..functions import boxes as bx
 from ..functions.bins import image_strata, rounded, size_bin
 from ..operators import assign as asg
 from ..operators import estimators as es
+from ..session import shared
 from .estimate_queries import W, _round_all, wm
 from .fixtures import candidates, gt_boxes, roster
 from .oracle import centre_sql, ciou_sql, iou_sql, padded_iou_sql, rnd, with_tables
@@ -215,7 +216,7 @@ def topk_claims(spark, sf):
 )
 def resolve_conflicts(spark, sf):
     """Owner of every claimed candidate after conflicts, and whether it survives the per-object top-1."""
-    owned = asg.owners(asg.flag_claims(pairs_of(spark, sf), 7))
+    owned = shared(asg.owners(asg.flag_claims(pairs_of(spark, sf), 7)))
     kept = asg.keep_best(owned).select("image_id", "gt_id", F.col("candidate").alias("best"))
     out = owned.join(kept, ["image_id", "gt_id"], "left")
     flag = F.coalesce(F.col("best") == F.col("candidate"), F.lit(False))
@@ -230,7 +231,7 @@ ACTIVE = """SELECT g.image_id, g.gt_id, k.candidate AS active, k.q AS qa, r.cand
 @query("active_margin", with_tables(f"SELECT image_id, gt_id, active, runner, {rnd('(qa - qr) / (qa + 1e-12)', 6, 'margin')} FROM act", **STATE, act=ACTIVE))
 def active_margin(spark, sf):
     """Active candidate, runner-up and relative margin of every object."""
-    flagged = asg.flag_claims(pairs_of(spark, sf), 7)
+    flagged = shared(asg.flag_claims(pairs_of(spark, sf), 7))
     out = asg.active_margin(asg.assign(flagged), flagged, gt_boxes(spark, sf))
     return out.select("image_id", "gt_id", "active", "runner", rounded(F.col("margin"), 6).alias("margin"))
 
@@ -247,7 +248,7 @@ def active_margin(spark, sf):
 )
 def rank_identities(spark, sf):
     """Unrestricted, pre-conflict and assigned identities, and the positive set, of the one-to-many assignment."""
-    flagged = asg.flag_claims(pairs_of(spark, sf), 10)
+    flagged = shared(asg.flag_claims(pairs_of(spark, sf), 10))
     return asg.rank_identities(flagged, asg.owners(flagged), gt_boxes(spark, sf))
 
 
@@ -282,11 +283,18 @@ def moved_truth(spark, sf) -> DataFrame:
     return asg.shifted_truth(g, delta, delta, IMAGE_SIDE, IMAGE_SIDE)
 
 
-def endpoint_rows(spark, sf, lock=False, many=False) -> DataFrame:
-    """Base and shifted one-to-one identity (or one-to-many rank) of each object and direction."""
+def replay_inputs(spark, sf, lock=False):
+    """Moved objects and the ranked pairs of base and moved boxes, shared by all uses."""
     g, c, m = gt_boxes(spark, sf), candidates(spark, sf), moved_truth(spark, sf)
-    pairs, extra = pairs_of(spark, sf), ["direction"]
-    shifted = asg.locked_pairs(pairs, m, c, extra=extra) if lock else asg.eligible_pairs(m, c, base=g, extra=extra)
+    pairs = shared(asg.rank_pairs(pairs_of(spark, sf)))
+    native = shared(asg.rank_pairs(asg.eligible_pairs(m, c, base=g, extra=["direction"]), extra=["direction"]))
+    locked = asg.rank_pairs(asg.locked_pairs(pairs, m, c, extra=["direction"]), extra=["direction"]) if lock else None
+    return m, pairs, native, locked
+
+
+def endpoint_rows(moved, pairs, shifted, many=False) -> DataFrame:
+    """Base and shifted one-to-one identity (or one-to-many rank) of each object and direction."""
+    extra = ["direction"]
     obj, key = ["image_id", "gt_id"], ["image_id", "gt_id", *extra]
     flagged = asg.flag_claims(pairs, 10 if many else 7)
     if many:
@@ -295,7 +303,7 @@ def endpoint_rows(spark, sf, lock=False, many=False) -> DataFrame:
     else:
         base = asg.active_of(asg.assign(flagged), obj)
         after = asg.active_of(asg.replay(flagged, shifted, k=7, extra=extra, single=True), key)
-    return asg.endpoint(m, base, after, extra)
+    return asg.endpoint(moved, base, after, extra)
 
 
 def _best(owned, keys):
@@ -314,8 +322,9 @@ def _best(owned, keys):
 )
 def replay_endpoint(spark, sf):
     """Any-direction fragility and flip rate of both assignments under a 0.1 equivalent-side shift."""
-    one = endpoint_rows(spark, sf).select("image_id", "gt_id", "direction", F.col("flip").alias("o2o_flip"))
-    many = endpoint_rows(spark, sf, many=True).select("image_id", "gt_id", "direction", F.col("flip").alias("o2m_flip"))
+    moved, pairs, native, _ = replay_inputs(spark, sf)
+    one = endpoint_rows(moved, pairs, native).select("image_id", "gt_id", "direction", F.col("flip").alias("o2o_flip"))
+    many = endpoint_rows(moved, pairs, native, many=True).select("image_id", "gt_id", "direction", F.col("flip").alias("o2m_flip"))
     return es.object_fragility(one.join(many, ["image_id", "gt_id", "direction"]), ["image_id", "gt_id"], ["o2o", "o2m"])
 
 
@@ -333,8 +342,9 @@ def replay_endpoint(spark, sf):
 def eligibility_lock(spark, sf):
     """Native against eligibility-locked fragility: size gaps, reduction and fraction removed."""
     key = ["image_id", "gt_id", "direction"]
-    native = endpoint_rows(spark, sf).select(*key, F.col("flip").alias("o2o_flip"))
-    lock = endpoint_rows(spark, sf, lock=True).select(*key, F.col("flip").alias("o2m_flip"))
+    moved, pairs, shifted, locked = replay_inputs(spark, sf, lock=True)
+    native = endpoint_rows(moved, pairs, shifted).select(*key, F.col("flip").alias("o2o_flip"))
+    lock = endpoint_rows(moved, pairs, locked).select(*key, F.col("flip").alias("o2m_flip"))
     obj = es.object_fragility(native.join(lock, key), ["image_id", "gt_id"], ["o2o", "o2m"])
     g = gt_boxes(spark, sf).select("image_id", "gt_id", size_bin(F.col("w") * F.col("h")).alias("size_bin"))
     obj = obj.join(g, ["image_id", "gt_id"]).join(roster(spark, sf).select("image_id", W), "image_id")

@@ -34,7 +34,7 @@ def mult_sql(reps: int, seed: int = SEED, name: str = "") -> dict[str, str]:
 
 
 def mult(spark, sf, reps, seed=SEED) -> DataFrame:
-    clusters = rs.numbered_clusters(roster(spark, sf), "stratum", "image_id", "dataset_index")
+    clusters = rs.numbered_clusters(roster(spark, sf), "stratum", "image_id", "dataset_index", block=F.floor(F.col("dataset_index") / 4096))
     return rs.multiplicities(clusters, "stratum", "image_id", reps, seed)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -38,3 +39,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+_SHARED: list[DataFrame] = []
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Mark an intermediate that a plan reads several times, so that it is computed once.
+
+    Column pruning makes each use of an intermediate a different subplan, which Spark then cannot reuse by itself. The
+    rows spill to disk, nothing runs before the first use, and partitions lost with an executor are computed again.
+    """
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop all shared intermediates. Plans built on them stay valid and would compute them again."""
+    while _SHARED:
+        try:
+            _SHARED.pop().unpersist()
+        except Exception:  # the session that held it is gone
+            pass
