@@ -22,11 +22,16 @@ def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(size))
 
 
-def covered_cells(b: Column, size: float = CELL) -> Column:
-    """Grid cells a box covers, as an array to explode."""
+def with_cells(df: DataFrame, b: Column, size: float = CELL) -> DataFrame:
+    """One row per grid cell (``_cx``, ``_cy``) that a box covers."""
     xs = F.sequence(_cell(b["x1"], size), _cell(b["x2"], size))
     ys = F.sequence(_cell(b["y1"], size), _cell(b["y2"], size))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cellx"), y.alias("celly")))))
+    return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+
+
+def home_cell(a: Column, b: Column, size: float = CELL) -> Column:
+    """Whether the joined cell holds the lower corner of the intersection: true in one cell per intersecting pair."""
+    return (_cell(F.greatest(a["x1"], b["x1"]), size) == F.col("_cx")) & (_cell(F.greatest(a["y1"], b["y1"]), size) == F.col("_cy"))
 
 
 HEAD = 20
@@ -49,8 +54,7 @@ def eligible_pairs(truth: DataFrame, cands: DataFrame, *, base: DataFrame | None
     """
     context = image_context(truth if base is None else base, cands)
     t = truth.select(IMAGE, GT, *extra, F.col("box").alias("gt_box"), eligibility_box(F.col("box")).alias("_eb")).join(context, IMAGE)
-    t = t.withColumn("_cells", F.explode(covered_cells(F.col("_eb"), cell)))
-    t = t.withColumns({"_cx": F.col("_cells.cellx"), "_cy": F.col("_cells.celly")}).drop("_cells")
+    t = with_cells(t, F.col("_eb"), cell)
     c = cands.select(IMAGE, CAND, "box", "ax", "ay", "p", _cell(F.col("ax"), cell).alias("_cx"), _cell(F.col("ay"), cell).alias("_cy"))
     pairs = c.join(t, [IMAGE, "_cx", "_cy"]).filter(strictly_inside(F.col("ax"), F.col("ay"), F.col("_eb")))
     return scored(pairs, extra)
@@ -348,13 +352,13 @@ def local_neighbours(truth: DataFrame, threshold: float, cell: float = CELL) ->
     side = F.sqrt((b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
     x, y, r = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2, F.lit(threshold / 2) * side
     reach = truth.select(IMAGE, GT, x.alias("x"), y.alias("y"), side.alias("side"), F.struct((x - r).alias("x1"), (y - r).alias("y1"), (x + r).alias("x2"), (y + r).alias("y2")).alias("box"))
-    reach = reach.withColumn("_cell", F.explode(covered_cells(F.col("box"), cell)))
-    a = reach.select(IMAGE, "_cell", F.col(GT).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("side").alias("sa"), F.col("box").alias("ba"))
-    c = reach.select(IMAGE, "_cell", F.col(GT).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("side").alias("sb"), F.col("box").alias("bb"))
+    reach = with_cells(reach, F.col("box"), cell)
+    a = reach.select(IMAGE, "_cx", "_cy", F.col(GT).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("side").alias("sa"), F.col("box").alias("ba"))
+    c = reach.select(IMAGE, "_cx", "_cy", F.col(GT).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("side").alias("sb"), F.col("box").alias("bb"))
     near = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) < F.lit(threshold) * (F.col("sa") + F.col("sb")) / 2
-    # A pair may share several cells; it counts in the one that holds the lower corner of the overlap.
-    home = (_cell(F.greatest("ba.x1", "bb.x1"), cell) == F.col("_cell.cellx")) & (_cell(F.greatest("ba.y1", "bb.y1"), cell) == F.col("_cell.celly"))
-    return a.join(c, [IMAGE, "_cell"]).filter((F.col("a") != F.col("b")) & near & home).select(IMAGE, F.col("a").alias(GT), F.col("b").alias("neighbor_gt"))
+    # A pair may share several cells; it counts in one.
+    home = home_cell(F.col("ba"), F.col("bb"), cell)
+    return a.join(c, [IMAGE, "_cx", "_cy"]).filter((F.col("a") != F.col("b")) & near & home).select(IMAGE, F.col("a").alias(GT), F.col("b").alias("neighbor_gt"))
 
 
 def spillover(events: DataFrame, truth: DataFrame, shared: DataFrame, local: DataFrame, flips: DataFrame, *, extra: Sequence[str]) -> DataFrame:

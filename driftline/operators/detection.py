@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import iou, points_box, probiou
-from .assign import covered_cells
+from .assign import home_cell, with_cells
 from .ordered import running_sums
 
 CELL = 32.0
@@ -28,12 +28,10 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_reach: str, b_
     Reaches are covered by grid cells and joined by cell; a pair counts in the cell that holds the lower corner of the
     intersection.
     """
-    left = a.withColumn("_cell", F.explode(covered_cells(F.col(a_reach), cell)))
-    right = b.withColumn("_cell", F.explode(covered_cells(F.col(b_reach), cell)))
+    left, right = with_cells(a, F.col(a_reach), cell), with_cells(b, F.col(b_reach), cell)
     ra, rb = F.col(a_reach), F.col(b_reach)
     meets = (ra["x1"] <= rb["x2"]) & (rb["x1"] <= ra["x2"]) & (ra["y1"] <= rb["y2"]) & (rb["y1"] <= ra["y2"])
-    home = (F.floor(F.greatest(ra["x1"], rb["x1"]) / cell) == F.col("_cell.cellx")) & (F.floor(F.greatest(ra["y1"], rb["y1"]) / cell) == F.col("_cell.celly"))
-    return left.join(right, [*keys, "_cell"]).filter(meets & home).drop("_cell")
+    return left.join(right, [*keys, "_cx", "_cy"]).filter(meets & home_cell(ra, rb, cell)).drop("_cx", "_cy")
 
 
 def shape_predictions(preds: DataFrame, scores: str, conf: float = 0.25, *, multi_label: bool = False, classes: Sequence[int] | None = None, max_nms: int = 30000) -> DataFrame:
@@ -68,14 +66,13 @@ def fast_nms(dets: DataFrame, threshold: float, *, similarity: Callable[[Column,
     A semi join by grid cell finds the dropped boxes: it stops at the first hit and never lists pairs.
     """
     base = dets.withColumn("_reach", F.col("box") if reach is None else reach)
-    cells = base.withColumn("_cell", F.explode(covered_cells(F.col("_reach"), cell)))
-    low = cells.select("image_id", "cls", "det", "conf", shape, "_cell")
-    high = cells.select("image_id", "cls", "_cell", F.col("det").alias("o_det"), F.col("conf").alias("o_conf"), F.col(shape).alias("o_shape")).withColumnsRenamed(
-        {"image_id": "o_image", "cls": "o_cls", "_cell": "o_cell"}
-    )
+    cells = with_cells(base, F.col("_reach"), cell)
+    keys = ["image_id", "cls", "_cx", "_cy"]
+    low = cells.select(*keys, "det", "conf", shape)
+    high = cells.select(*[F.col(k).alias("o_" + k) for k in keys], F.col("det").alias("o_det"), F.col("conf").alias("o_conf"), F.col(shape).alias("o_shape"))
+    same = [F.col(k) == F.col("o_" + k) for k in keys]
     hit = (
-        (F.col("image_id") == F.col("o_image")) & (F.col("cls") == F.col("o_cls")) & (F.col("_cell") == F.col("o_cell"))
-        & _ahead() & (similarity(F.col("o_shape"), F.col(shape)) >= threshold)
+        same[0] & same[1] & same[2] & same[3] & _ahead() & (similarity(F.col("o_shape"), F.col(shape)) >= threshold)
     )
     dropped = low.join(high, hit, "left_semi").select("image_id", "cls", "det").distinct()
     return dets.join(dropped, ["image_id", "cls", "det"], "left_anti")
@@ -157,9 +154,11 @@ def greedy_nms(dets: DataFrame, threshold: float, *, max_nms: int = 30000, max_d
 def overlap_pairs(dets: DataFrame, truth: DataFrame, least: float, *, same_class: bool = True, cell: float = CELL) -> DataFrame:
     """Detection-truth pairs with IoU of at least ``least``: (image_id, det, conf, cls, gt_id, gt_cls, sim)."""
     t = truth.select("image_id", "gt_id", F.col("cls").alias("gt_cls"), F.col("box").alias("gt_box"))
-    near = near_pairs(dets.select("image_id", "det", "conf", "cls", "box"), t, ["image_id"], "box", "gt_box", cell)
+    d = dets.select("image_id", "det", "conf", "cls", "box")
     if same_class:
-        near = near.filter(F.col("cls") == F.col("gt_cls"))
+        near = near_pairs(d, t.withColumnRenamed("gt_cls", "cls"), ["image_id", "cls"], "box", "gt_box", cell).withColumn("gt_cls", F.col("cls"))
+    else:
+        near = near_pairs(d, t, ["image_id"], "box", "gt_box", cell)
     near = near.withColumn("sim", iou(F.col("gt_box"), F.col("box"))).filter(F.col("sim") >= least)
     return near.select("image_id", "det", "conf", "cls", "gt_id", "gt_cls", "sim")
 
@@ -175,7 +174,7 @@ def keypoint_pairs(dets: DataFrame, truth: DataFrame, least: float, similarity:
     t = truth.select("image_id", "gt_id", F.col("cls").alias("gt_cls"), F.col("kpts").alias("gt_kpts"), F.col("area").alias("gt_area"))
     t = t.withColumn("_tr", F.struct((b["x1"] - grow).alias("x1"), (b["y1"] - grow).alias("y1"), (b["x2"] + grow).alias("x2"), (b["y2"] + grow).alias("y2")))
     d = dets.select("image_id", "det", "conf", "cls", "kpts").withColumn("_dr", points_box(F.col("kpts")))
-    near = near_pairs(d, t, ["image_id"], "_dr", "_tr").filter(F.col("cls") == F.col("gt_cls"))
+    near = near_pairs(d, t.withColumnRenamed("gt_cls", "cls"), ["image_id", "cls"], "_dr", "_tr").withColumn("gt_cls", F.col("cls"))
     near = near.withColumn("sim", similarity(F.col("gt_kpts"), F.col("kpts"), F.col("gt_area"), sigmas)).filter(F.col("sim") >= least)
     return near.select("image_id", "det", "conf", "cls", "gt_id", "gt_cls", "sim")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
+
 
 def one_sided(values: DataFrame, plan: DataFrame, alpha: float = 0.05) -> DataFrame:
     """One-sided bootstrap p = (opposite + 1)/(B + 1) and confidence bound per hypothesis.
@@ -55,6 +57,7 @@ def holm(tests: DataFrame, ids: Sequence[str], alpha: float = 0.05) -> DataFrame
 def evaluate(tests: DataFrame, gated: Sequence[str], family: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Gatekeeping for the first family, Holm for the second, in one table."""
     cols = ["id", "direction", "estimate", "n_valid", "p", "bound"]
+    tests = shared(tests)  # one row per hypothesis, read by both procedures
     a = gatekeeping(tests, gated, alpha).select(*cols, F.lit("gatekeeping").alias("procedure"), F.col("p").alias("adjusted_p"), "status")
     b = holm(tests, family, alpha).select(
         *cols, F.lit("holm").alias("procedure"), "adjusted_p", F.when(F.col("rejected"), "pass").otherwise("fail").alias("status")

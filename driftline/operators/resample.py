@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import draw32, draw60
+from ..session import shared
 from .ordered import nth_smallest, positions
 
 HASH_BITS = 60
@@ -67,6 +68,7 @@ def multiplicities(clusters: DataFrame, stratum: str, cluster: str, reps: int, s
 
     Each slot of a stratum draws one slot with replacement, so a replicate is an exact resample of n_h out of n_h.
     """
+    clusters = shared(clusters)  # one row per cluster, read three times
     draws = clusters.select(stratum, "n_h", "slot", replicates(reps))
     hit = (draw32(seed, F.col("rep"), F.col(stratum), F.col("slot")) % F.col("n_h")).alias("slot")
     counted = draws.select("rep", stratum, hit).groupBy("rep", stratum, "slot").agg(F.count("*").alias("copies"))
