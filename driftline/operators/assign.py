@@ -379,3 +379,14 @@ def spillover(events: DataFrame, truth: DataFrame, shared: DataFrame, local: Dat
     n = truth.groupBy(IMAGE).agg((F.count("*") - 1).alias("neighbors"))
     out = events.join(n, IMAGE).join(per, key, "left").na.fill(0, per.columns[len(key):])
     return out.withColumn("distant", F.col("neighbors") - F.col("shared") - F.col("local"))
+
+
+def preresolution_flags(flagged: DataFrame, owned: DataFrame, kept: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per object: best claim before conflicts, active identity, whether they differ, and whether a claim was contested."""
+    obj = [IMAGE, GT]
+    order = F.struct(F.col("q"), (-F.col(CAND)).alias("m"))
+    before = flagged.filter("claimed").groupBy(*obj).agg(F.max_by(CAND, order).alias("pre_active"))
+    contested = owned.filter("n_claims > 1").select(IMAGE, CAND)
+    involved = flagged.filter("claimed").join(contested, [IMAGE, CAND], "left_semi").select(*obj).distinct().withColumn("_c", F.lit(1))
+    out = truth.join(before, obj, "left").join(kept.select(*obj, F.col(CAND).alias("active")), obj, "left").join(involved, obj, "left")
+    return out.withColumns({"disagrees": (~F.col("pre_active").eqNullSafe(F.col("active"))).cast("int"), "in_conflict": F.coalesce("_c", F.lit(0))}).drop("_c")

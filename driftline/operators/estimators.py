@@ -255,3 +255,36 @@ def quantile_summary(df: DataFrame, by: Sequence[str], values: Sequence[str]) ->
         cols += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{v}")]
     out = df.groupBy(*by).agg(*cols)
     return out.select(*by, *[F.col(f"_{v}")[i].alias(f"{v}_{n}") for v in values for i, n in enumerate(("q25", "median", "q75"))])
+
+
+def stress_matrix(events: DataFrame, kappas: Sequence[float], dataset: str, keys: Sequence[str], arms: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Size contrasts per dataset and shift strength, all strengths from one pass over the events."""
+    spread = events.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in kappas])))
+    hit = lambda a: F.coalesce((F.col(f"{a}_event_observed") == 1) & (F.col(f"{a}_radius") <= F.col("kappa") + F.lit(1e-12)), F.lit(False))
+    per = spread.groupBy(dataset, "kappa", *keys).agg(*[F.max(hit(a).cast("int")).alias(f"{a}_fragile") for a in arms], *[F.first(c).alias(c) for c in carry])
+    return size_contrasts(per, [dataset, "kappa"], arms)
+
+
+def same_stride(directional: DataFrame, keys: Sequence[str], base: Column, shifted: Column, flip: str, carry: Sequence[str]) -> DataFrame:
+    """Per object: whether every replay stays on the base stride, and how many directions cross or miss."""
+    crossed = shifted.isNotNull() & (shifted != base)
+    return directional.groupBy(*keys).agg(
+        F.bool_and(F.coalesce(shifted == base, F.lit(False))).alias("same_stride"),
+        F.count_if(crossed).alias("n_cross"),
+        F.count_if(shifted.isNull()).alias("n_missing"),
+        F.max(flip).alias("fragile"),
+        F.count("*").alias("n_directions"),
+        *[F.max(c).alias(c) for c in carry],
+    )
+
+
+def conflict_summary(df: DataFrame, by: Sequence[str], weight: str = "sampling_weight") -> DataFrame:
+    """Disagreement of the pre-resolution and active identity, the share involved in conflicts, and unexplained rows."""
+    w = F.col(weight)
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n_rows"),
+        weighted_mean(F.col("disagrees"), w).alias("disagreement_rate"),
+        weighted_mean(F.col("in_conflict"), w).alias("conflict_rate"),
+        weighted_mean(F.col("in_conflict"), w, F.col("disagrees") == 1).alias("conflict_rate_among_disagreeing"),
+        F.count_if((F.col("disagrees") == 1) & (F.col("in_conflict") == 0)).alias("n_unexplained"),
+    )

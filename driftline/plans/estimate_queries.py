@@ -485,3 +485,66 @@ def weighted_auc(spark, sf):
         (F.col("n_chars") / (F.col("n_chars") + 2000.0)).alias("score"), (1 + F.col("doc_id") % 3).cast("double").alias("weight"),
     )
     return _round_all(score_metrics(d, ["source_group"], "quality", "score", "weight", block=F.floor(F.col("score") * -32)))
+
+
+def _gap_of(a: str) -> str:
+    return f"({wm(f'{a}_fragile', _T)}) - ({wm(f'{a}_fragile', _S)})"
+
+
+@query(
+    "stress_matrix",
+    with_tables(
+        f"""SELECT stratum, kappa, {rnd(wm('o2o_fragile', _T), 9, 'o2o_tiny')}, {rnd(wm('o2o_fragile', _S), 9, 'o2o_small')}, {rnd(wm('o2m_fragile', _T), 9, 'o2m_tiny')}, {rnd(wm('o2m_fragile', _S), 9, 'o2m_small')},
+ {rnd(_gap_of('o2o'), 9, 'o2o_gap')}, {rnd(_gap_of('o2m'), 9, 'o2m_gap')}, {rnd(f"({_gap_of('o2o')}) - ({_gap_of('o2m')})", 9, 'paired_difference')} FROM (
+ SELECT stratum, kappa, image_id, gt_id, size_bin, sampling_weight, MAX(CASE WHEN o2o_event_observed = 1 AND o2o_radius <= kappa + 1e-12 THEN 1 ELSE 0 END) AS o2o_fragile, MAX(CASE WHEN o2m_event_observed = 1 AND o2m_radius <= kappa + 1e-12 THEN 1 ELSE 0 END) AS o2m_fragile
+ FROM fx_rays CROSS JOIN (SELECT UNNEST([0.05e0, 0.1e0, 0.15e0, 0.2e0]) AS kappa) k GROUP BY ALL) q GROUP BY stratum, kappa"""
+    ),
+)
+def stress_matrix(spark, sf):
+    """Size contrasts per stratum and shift strength."""
+    return _round_all(es.stress_matrix(rays(spark, sf), (0.05, 0.1, 0.15, 0.2), "stratum", OBJECT, ("o2o", "o2m"), ["size_bin", W]), ("kappa",))
+
+
+@query(
+    "same_stride",
+    with_tables(
+        f"""SELECT size_bin, COUNT(*) AS n_objects, {rnd(wm('1e0', 'same') + f' * SUM(CASE WHEN same THEN {W} ELSE 0 END) / SUM({W})', 9, 'retention')}, {rnd(wm('fragile', 'same'), 9, 'rate')}, SUM(nc)::BIGINT AS n_cross, SUM(nm)::BIGINT AS n_missing FROM (
+ SELECT size_bin, image_id, gt_id, sampling_weight, BOOL_AND(COALESCE(sh = ba, FALSE)) AS same, COUNT(*) FILTER (WHERE sh <> ba) AS nc, COUNT(*) FILTER (WHERE sh IS NULL) AS nm, MAX(o2o_flip) AS fragile FROM (
+ SELECT *, [8, 16, 32][1 + gt_id % 3] AS ba, CASE WHEN ok % 13 = 0 THEN NULL WHEN ok % 7 = 0 THEN [8, 16, 32][1 + (gt_id + 1) % 3] ELSE [8, 16, 32][1 + gt_id % 3] END AS sh FROM dirs) a GROUP BY ALL) b GROUP BY size_bin""",
+        **BASE,
+    ),
+)
+def same_stride(spark, sf):
+    """Fragility of the objects whose every replay stays on the base stride, with retention."""
+    strides = F.array(F.lit(8), F.lit(16), F.lit(32))
+    base = F.element_at(strides, (F.col("gt_id") % 3 + 1).cast("int"))
+    moved = F.element_at(strides, ((F.col("gt_id") + 1) % 3 + 1).cast("int"))
+    shifted = F.when(F.col("ok") % 13 == 0, None).when(F.col("ok") % 7 == 0, moved).otherwise(base)
+    obj = es.same_stride(flips(rays(spark, sf)), OBJECT, base, shifted, "o2o_flip", ["size_bin", W])
+    w = F.col(W)
+    out = obj.groupBy("size_bin").agg(
+        F.count("*").alias("n_objects"), (F.sum(F.when(F.col("same_stride"), w).otherwise(0.0)) / F.sum(w)).alias("retention"),
+        es.weighted_mean(F.col("fragile"), w, F.col("same_stride")).alias("rate"), F.sum("n_cross").alias("n_cross"), F.sum("n_missing").alias("n_missing"),
+    )
+    return _round_all(out)
+
+
+@query(
+    "event_counts",
+    with_tables("SELECT size_bin, o2o_first_divergence, COUNT(*) AS n_events, COUNT(DISTINCT (image_id, gt_id)) AS n_objects FROM fx_rays GROUP BY ALL"),
+)
+def event_counts(spark, sf):
+    """Events and objects per size and divergence label."""
+    per = rays(spark, sf).groupBy("size_bin", "o2o_first_divergence", *OBJECT).agg(F.count("*").alias("_n"))
+    return per.groupBy("size_bin", "o2o_first_divergence").agg(F.sum("_n").alias("n_events"), F.count("*").alias("n_objects"))
+
+
+@query(
+    "gap_quartiles",
+    with_tables(
+        "SELECT size_bin, " + ", ".join(rnd(f"QUANTILE_CONT({v}::DOUBLE, {q})", 9, f"{v}_{n}") for v in ("margin", "o2o_radius") for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))) + " FROM fx_rays WHERE o2o_event_observed = 1 GROUP BY size_bin"
+    ),
+)
+def gap_quartiles(spark, sf):
+    """Quartiles of margin and radius among events, by size."""
+    return _round_all(es.quantile_summary(rays(spark, sf).filter("o2o_event_observed = 1"), ["size_bin"], ["margin", "o2o_radius"]))

@@ -22,12 +22,19 @@ def pairs_of(spark, sf) -> DataFrame:
     return asg.eligible_pairs(gt_boxes(spark, sf), candidates(spark, sf))
 
 
+def inside_sql(p: str) -> str:
+    """Anchor strictly inside the truth box, whose sides below 8 count as 16 (a shifted side of 8 can round below 8)."""
+    w, h = (f"CASE WHEN {p}gx2 - {p}gx1 < 8 THEN 16e0 ELSE {p}gx2 - {p}gx1 END", f"CASE WHEN {p}gy2 - {p}gy1 < 8 THEN 16e0 ELSE {p}gy2 - {p}gy1 END")
+    cx, cy = f"({p}gx1 + {p}gx2) / 2", f"({p}gy1 + {p}gy2) / 2"
+    return f"LEAST(ax - ({cx} - ({w}) / 2), ay - ({cy} - ({h}) / 2), {cx} + ({w}) / 2 - ax, {cy} + ({h}) / 2 - ay) > 1e-9"
+
+
 ELIG = f"""SELECT c.image_id, g.gt_id, c.candidate, c.p, GREATEST({ciou_sql()}, 0e0) AS c, g.gx1, g.gy1, g.gx2, g.gy2, c.x1, c.y1, c.x2, c.y2
- FROM fx_box g JOIN fx_cand c ON g.img = c.img WHERE LEAST(ax - gx1, ay - gy1, gx2 - ax, gy2 - ay) > 1e-9"""
+ FROM fx_box g JOIN fx_cand c ON g.img = c.img WHERE {inside_sql("g.")}"""
 PAIRS = "SELECT *, SQRT(p) * ((c * c * c) * (c * c * c)) AS q FROM elig"
 
 
-# Objects here have sides of 8 and more, so every eligible pair overlaps and zero alignments do not occur.
+# Candidates here are at least 8 wide around their anchor, so an eligible pair overlaps; zero alignments are tested by brute force.
 def claims_sql(k: int, src: str = "pairs", key: str = "image_id, gt_id") -> str:
     return f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY q DESC, candidate) AS rk FROM {src}) r WHERE rk <= {k}"
 
@@ -257,7 +264,7 @@ def _replay_sql(k: int, lock: bool, single: bool, tag: str) -> dict[str, str]:
     inside = (
         f"JOIN pairs b ON b.gt_id = m.gt_id AND b.candidate = c.candidate" if lock else ""
     )
-    where = "" if lock else "WHERE LEAST(ax - m.gx1, ay - m.gy1, m.gx2 - ax, m.gy2 - ay) > 1e-9"
+    where = "" if lock else "WHERE " + inside_sql("m.")
     c = ciou_sql("m.gx1 m.gy1 m.gx2 m.gy2", "c.x1 c.y1 c.x2 c.y2")
     steps = {
         f"sp{tag}": f"""SELECT m.image_id, m.gt_id, m.direction, c.candidate, c.p, GREATEST({c}, 0e0) AS c FROM moves m JOIN fx_cand c ON m.img = c.img {inside} {where}""",

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows here grow after a shuffle (shifts, grid cells, replicates): keep small shuffles spread over the cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
 }
 
 
