@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import draw32
+from ..session import shared
 from .ordered import running_sums
 
 
@@ -102,6 +103,7 @@ def out_of_fold(df: DataFrame, models: Mapping[str, Sequence[str]], outcome: str
     from pyspark.ml.functions import vector_to_array
 
     every = sorted({f for fs in models.values() for f in fs})
+    df = shared(df)  # every fit iterates over it
     out = None
     for fold in range(folds):
         scored = standardise(df, every, weight, F.col("fold") != fold)
