@@ -467,7 +467,7 @@ def endpoint_diagnostics(spark, sf):
     "weighted_auc",
     with_tables(
         f"""SELECT g AS source_group, {rnd('auc', 9, 'roc_auc')}, {rnd('ap', 9, 'pr_auc')}, {rnd('ll', 9, 'log_loss')}, {rnd('br', 9, 'brier')} FROM (
- SELECT g, SUM(neg * (cum_p_above + 0.5e0 * pos)) / (MAX(tp) * MAX(tn)) AS auc, SUM(pos / tp * cum_p / cum_w) AS ap, SUM(ll) / MAX(tp + tn) AS ll, SUM(br) / MAX(tp + tn) AS br FROM (
+ SELECT g, SUM(neg * (cum_p_above + 0.5e0 * pos)) / NULLIF(MAX(tp) * MAX(tn), 0) AS auc, SUM(pos / tp * cum_p / cum_w) AS ap, SUM(ll) / MAX(tp + tn) AS ll, SUM(br) / MAX(tp + tn) AS br FROM (
  SELECT *, SUM(pos) OVER w AS cum_p, SUM(pos) OVER w - pos AS cum_p_above, SUM(pos + neg) OVER w AS cum_w, SUM(pos) OVER (PARTITION BY g) AS tp, SUM(neg) OVER (PARTITION BY g) AS tn
  FROM scored WINDOW w AS (PARTITION BY g ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) q GROUP BY g) z""",
         scored="""SELECT g, s, SUM(CASE WHEN quality = 1 THEN wt ELSE 0 END) AS pos, SUM(CASE WHEN quality = 0 THEN wt ELSE 0 END) AS neg,
