@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import huffman, licenses, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,11 +33,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 @query("op5_cost_packing")
 def op5_cost_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")).drop("cost")
 
 
+@query("op6_huffman_ids")
+def op6_huffman_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("fp")
