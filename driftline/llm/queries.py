@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, licenses, packing, simhash
+from . import decontaminate, huffman, licenses, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op6_huffman_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("fp")
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
