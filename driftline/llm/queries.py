@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, licenses, packing, simhash
+from . import decontaminate, huffman, licenses, packing, simhash, toxicity
+from .common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +34,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf: str) -> toxicity.Model:
+    """Fitted on the labelled rows outside the held-out fold."""
+    labels = table(spark, sf, "labels")
+    return toxicity.fit(docs, labels.filter(fold_of(F.col("doc_id"), 4) != 2))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity_model(spark, docs, sf)
+    held = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = docs.select("doc_id", held.alias("held_out"), toxicity.scored(docs, model).alias("s"))
+    return found.select("doc_id", "held_out", F.col("s.score").alias("score"), F.when(F.col("s.score") >= 0.3, 1).otherwise(0).alias("predicted"), F.col("s.hits").alias("n_hits"))
+
+
 @query("op4_license_scan")
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
