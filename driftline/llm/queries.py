@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, licenses, packing, simhash, toxicity
+from . import decontaminate, huffman, licenses, packing, simhash, toxicity, warc
 from .common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,20 @@ def op6_huffman_ids(spark: SparkSession, sf: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+"""
+
+
+@query("op7_warc_chain", OP7_SQL)
+def op7_warc_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("fp")
