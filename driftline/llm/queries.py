@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, licenses, packing, simhash, topk, toxicity, warc
+from . import decontaminate, huffman, licenses, packing, pii, simhash, topk, toxicity, warc
 from .common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("s.score").alias("score"), F.when(F.col("s.score") >= 0.3, 1).otherwise(0).alias("predicted"), F.col("s.hits").alias("n_hits"))
 
 
+@query("op3_pii_tagger")
+def op3_pii_tagger(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
 @query("op4_license_scan")
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
