@@ -136,7 +136,7 @@ def examples(text: str) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def fit(docs: DataFrame, fit_texts: int = 3_000, fit_windows: int = 4_000, **settings) -> Tagger | None:
+def fit(docs: DataFrame, fit_texts: int = 3_000, fit_windows: int = 2_500, **settings) -> Tagger | None:
     """The tagger, trained on the driver from at most ``fit_windows`` windows of about ``fit_texts`` texts."""
     text = F.col("text").cast("string")
     numbers = docs.filter(text.rlike("[0-9@]")).select(text.alias("text"))

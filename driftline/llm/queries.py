@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, licenses, packing, pii, simhash, topk, toxicity, warc
+from . import ctw, decontaminate, huffman, licenses, packing, pii, simhash, topk, toxicity, warc
 from .common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_ctw_score")
+def op1_ctw_score(spark: SparkSession, sf: str) -> DataFrame:
+    return ctw.scores(table(spark, sf, "documents"), F.coalesce(fold_of(F.col("doc_id"), 5) != 1, F.lit(True)))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf: str) -> toxicity.Model:
     """Fitted on the labelled rows outside the held-out fold."""
     labels = table(spark, sf, "labels")
