@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TO_LOWER, slices, stored
@@ -49,16 +49,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp): the fingerprint as a signed long; ``row`` is carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 prints = np.array([fingerprint(t, width) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(prints)], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(0) if row is None else row).cast("long").alias("row"))
+    return given.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _roots(low: np.ndarray, distance: int, bits: int) -> np.ndarray:
@@ -146,12 +147,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "root")
 
 
+def classes(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, least): each distinct fingerprint with the name of its class and the smallest doc_id of its own rows."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
+    return stored(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for each row of ``docs``. A class of null ids alone has a null component."""
-    prints = stored(fingerprints(docs, width))
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = stored(components(links(nodes, distance)).join(nodes.withColumnRenamed("fp", "node"), "node"))
-    roots = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    alone = nodes.join(linked.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    classes = stored(linked.join(roots, "root").select(F.col("node").alias("fp"), "component_id").unionByName(alone))
-    return prints.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = stored(fingerprints(docs, width).drop("row"))
+    of = classes(prints, distance)
+    named = stored(of.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = stored(of.join(named, "root").select("fp", "component_id"))
+    return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id; of equal ids one row, chosen by a hash of all columns."""
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    prints = stored(fingerprints(marked, width, F.col("_row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = prints.join(classes(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_of"))
+    kept = stored(kept)
+    out = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")), "left_semi")
+    twice = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():  # rows that are equal in every column
+        out = out.dropDuplicates(["doc_id", "_row"])
+    return out.drop("_row")
