@@ -1,15 +1,63 @@
-"""Corpus preparation in stages; each calls an operator of ``driftline.llm``."""
+"""Corpus preparation in stages; each calls an operator of ``driftline.llm``.
+
+A stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes to the shared folder and reads again for the
+next one. Stages keep all columns of the documents but the last, whose rows are pieces of packed sequences.
+
+- toxicity: documents of score 0.3 or more go; the lexicon is learned from labelled rows outside the held-out fold.
+- near_duplicates: one document of each class of close fingerprints stays, that of the smallest id.
+- decontamination: documents that hold a benchmark item go.
+- personal_data: spans of personal data in the text are replaced by their kind; no document goes.
+- packing: ids of what is left, packed into sequences of 4096 tokens.
+
+Nulls, empty texts, repeated rows and empty tables are handled as each operator states.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftline.llm import decontaminate, packing, pii, simhash, toxicity
+from driftline.llm.common import stored
+from driftline.llm.queries import table, tokenizer_file, toxicity_model
+
+ORACLE_SQL = None  # fingerprints, tokenizers and learned models have no SQL; tests compare with brute force
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, docs, sf_dir)
+    names = docs.columns
+    return docs.withColumn("_toxic", toxicity.scored(docs, model)).filter(F.col("_toxic.score") < 0.3).select(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, pii.fit(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json")).drop("cost")
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        docs = stored(docs) if at < len(STAGES) else docs
     return docs
