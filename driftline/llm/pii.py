@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .tagger import LENGTH, Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -270,8 +271,9 @@ def report(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
 def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """``docs`` with every span of its text replaced by the kind; ``n_chars``, if there, follows."""
-    names = docs.columns
-    out = docs.withColumn("_pii", spotted(docs, tagger, mask=True)).withColumn("text", F.coalesce(F.col("_pii.masked"), F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.when(F.col("_pii.masked").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)), F.col("n_chars")))
-    return out.select(*names)
+    name = free_name(docs, "spotted")
+    new = F.col(name)["masked"]
+    out = docs.withColumn(name, spotted(docs, tagger, mask=True))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(new.isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce(new, F.col("text"))).drop(name)

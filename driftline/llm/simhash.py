@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, slices, stored
+from .common import TO_LOWER, free_name, slices, stored
 
 _SPACES = str.maketrans(dict.fromkeys(map(chr, range(9, 14)), " "))
 SEED = 42
@@ -165,13 +165,13 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3) -> DataF
 
 def keep_one(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest doc_id; of equal ids one row, chosen by a hash of all columns."""
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    prints = stored(fingerprints(marked, width, F.col("_row")))
+    name, own, of = free_name(docs, "row"), free_name(docs, "kept_id"), free_name(docs, "kept_row")
+    marked = docs.withColumn(name, F.xxhash64(*docs.columns))
+    prints = stored(fingerprints(marked, width, F.col(name)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = prints.join(classes(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_of"))
-    kept = stored(kept)
-    out = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")), "left_semi")
+    kept = prints.join(classes(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.row").alias(of))
+    out = marked.join(stored(kept), F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(name) == F.col(of)), "left_semi")
     twice = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1")
     if not twice.isEmpty():  # rows that are equal in every column
-        out = out.dropDuplicates(["doc_id", "_row"])
-    return out.drop("_row")
+        out = out.dropDuplicates(["doc_id", name])
+    return out.drop(name)
