@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate, packing, pii, simhash, toxicity
-from driftline.llm.common import stored
+from driftline.llm.common import free_name, stored
 from driftline.llm.queries import table, tokenizer_file, toxicity_model
 
 ORACLE_SQL = None  # fingerprints, tokenizers and learned models have no SQL; tests compare with brute force
@@ -26,8 +26,8 @@ ORACLE_SQL = None  # fingerprints, tokenizers and learned models have no SQL; te
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(spark, docs, sf_dir)
-    names = docs.columns
-    return docs.withColumn("_toxic", toxicity.scored(docs, model)).filter(F.col("_toxic.score") < 0.3).select(*names)
+    name = free_name(docs, "toxic")
+    return docs.withColumn(name, toxicity.scored(docs, model)).filter(F.col(name)["score"] < 0.3).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
