@@ -108,9 +108,10 @@ class Tagger:
             dh, dc = dz @ self.p["h" + side].T, dc * f
         return {"x" + side: gx, "h" + side: gh, "b" + side: gb}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 9, batch: int = 96, rate: float = 0.012, seed: int = 3) -> list[float]:
-        """Adam over shuffled batches; the loss of each epoch."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 96, rate: float = 0.012, seed: int = 3) -> list[float]:
+        """Adam over shuffled batches, about ``steps`` of them; the loss of each epoch."""
         rng = np.random.default_rng(seed)
+        epochs = -(-steps // -(-len(x) // batch))
         m, v = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
         losses, step = [], 0
         for epoch in range(epochs):
