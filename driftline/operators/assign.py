@@ -34,15 +34,14 @@ def home_cell(a: Column, b: Column, size: float = CELL) -> Column:
     return (_cell(F.greatest(a["x1"], b["x1"]), size) == F.col("_cx")) & (_cell(F.greatest(a["y1"], b["y1"]), size) == F.col("_cy"))
 
 
-HEAD = 20
+def first_objects(truth: DataFrame) -> DataFrame:
+    """Per image: its first object, which owns what nobody overlaps."""
+    return truth.groupBy(IMAGE).agg(F.min(GT).alias("first_gt"))
 
 
-def image_context(truth: DataFrame, cands: DataFrame) -> DataFrame:
-    """Per image: its first object and its first ``HEAD`` candidates, which decide all zero-alignment cases."""
-    w = Window.partitionBy(IMAGE).orderBy(CAND)
-    head = cands.select(IMAGE, CAND).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= HEAD)
-    heads = head.groupBy(IMAGE).agg(F.sort_array(F.collect_list(CAND)).alias("_head"))
-    return truth.groupBy(IMAGE).agg(F.min(GT).alias("first_gt")).join(heads, IMAGE, "left")
+def with_order(cands: DataFrame) -> DataFrame:
+    """``ord``: the place of each candidate in its image, by index. It decides between zero alignments."""
+    return cands.withColumn("ord", F.row_number().over(Window.partitionBy(IMAGE).orderBy(CAND)))
 
 
 def eligible_pairs(truth: DataFrame, cands: DataFrame, *, base: DataFrame | None = None, extra: Sequence[str] = (), cell: float = CELL) -> DataFrame:
@@ -52,10 +51,10 @@ def eligible_pairs(truth: DataFrame, cands: DataFrame, *, base: DataFrame | None
     is spread over its cells. ``extra`` names further truth columns that belong to the key (direction, radius); ``base``
     is the unshifted truth where ``truth`` holds shifted rows.
     """
-    context = image_context(truth if base is None else base, cands)
+    context = first_objects(truth if base is None else base)
     t = truth.select(IMAGE, GT, *extra, F.col("box").alias("gt_box"), eligibility_box(F.col("box")).alias("_eb")).join(context, IMAGE)
     t = with_cells(t, F.col("_eb"), cell)
-    c = cands.select(IMAGE, CAND, "box", "ax", "ay", "p", _cell(F.col("ax"), cell).alias("_cx"), _cell(F.col("ay"), cell).alias("_cy"))
+    c = with_order(cands).select(IMAGE, CAND, "ord", "box", "ax", "ay", "p", _cell(F.col("ax"), cell).alias("_cx"), _cell(F.col("ay"), cell).alias("_cy"))
     pairs = c.join(t, [IMAGE, "_cx", "_cy"]).filter(strictly_inside(F.col("ax"), F.col("ay"), F.col("_eb")))
     return scored(pairs, extra)
 
@@ -67,10 +66,9 @@ def locked_pairs(base_pairs: DataFrame, moved: DataFrame, cands: DataFrame, *, e
 
 
 def scored(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Overlap, alignment and head position. The overlap is written once: later conditions use it, not its definition."""
-    order = F.col("ord") if "ord" in pairs.columns else F.nullif(F.array_position("_head", F.col(CAND)), F.lit(0))
+    """Overlap and alignment. The overlap is written once: later conditions use it, not its definition."""
     out = pairs.select(
-        IMAGE, GT, *extra, CAND, "p", F.greatest(ciou(F.col("gt_box"), F.col("box")), F.lit(0.0)).alias("c"), order.alias("ord"), "first_gt"
+        IMAGE, GT, *extra, CAND, "p", F.greatest(ciou(F.col("gt_box"), F.col("box")), F.lit(0.0)).alias("c"), "ord", "first_gt"
     )
     return out.withColumn("q", alignment(F.col("p"), F.col("c")))
 
@@ -85,7 +83,7 @@ def rank_pairs(pairs: DataFrame, *, extra: Sequence[str] = ()) -> DataFrame:
         {
             "rank": F.row_number().over(obj.orderBy(F.desc("q"), CAND)),
             "n_positive": F.count_if(positive).over(obj),
-            "head_positive": F.collect_list(F.when(positive & F.col("ord").isNotNull(), F.col(CAND))).over(obj),
+            "earlier": F.count_if(positive).over(obj.orderBy(CAND).rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
 
@@ -94,15 +92,12 @@ def flag_claims(pairs: DataFrame, k: int, *, extra: Sequence[str] = ()) -> DataF
     """Mark the per-object top-k claims, stable by candidate index, among the eligible pairs.
 
     The ranking is over all candidates of the image. Positive alignments rank among the eligible pairs. Zero alignments
-    matter only where fewer than k positives exist: the lowest-index candidates of the image fill the rest, so the head of
-    the image is enough to place them.
+    matter only where fewer than k positives exist: the lowest-index candidates of the image fill the rest. One is filled
+    in if the positives and the zero alignments up to it are no more than k.
     """
-    if 2 * k > HEAD:
-        raise ValueError(f"k is at most {HEAD // 2}")
     ranked = pairs if "rank" in pairs.columns else rank_pairs(pairs, extra=extra)
-    earlier = F.size(F.filter("head_positive", lambda x: x < F.col(CAND)))
-    filled = F.col("ord").isNotNull() & (F.col("n_positive") + F.col("ord") - earlier <= k)
-    return ranked.withColumn("claimed", F.when(F.col("q") > 0, F.col("rank") <= k).otherwise(filled)).drop("n_positive", "head_positive")
+    filled = F.col("n_positive") + F.col("ord") - F.coalesce("earlier", F.lit(0)) <= k
+    return ranked.withColumn("claimed", F.when(F.col("q") > 0, F.col("rank") <= k).otherwise(filled)).drop("n_positive", "earlier")
 
 
 def claims(pairs: DataFrame, k: int, *, extra: Sequence[str] = ()) -> DataFrame:

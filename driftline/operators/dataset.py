@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,13 +138,16 @@ def windows(images: DataFrame, crop: int = 1024, gap: int = 200, rate: float = 0
 def window_objects(objects: DataFrame, wins: DataFrame, crop: int, threshold: float = 0.7) -> DataFrame:
     """Objects of each window with at least ``threshold`` of their area inside, re-based to the window.
 
-    Range join by crop-sized cell: windows are put in every cell they touch, an object's top-left corner has one cell.
+    Range join by crop-sized cell: windows are put in every cell that can hold the corner of such an object, an object's
+    top-left corner has one cell. A share of t limits a box to crop / t, so it begins at most (1 - t) / t crops before.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+    reach = max(1, ceil((1 - threshold) / threshold))
     w = wins.withColumn("win", F.struct(*[F.col(a).cast("double").alias(b) for a, b in (("x_start", "x1"), ("y_start", "y1"), ("x_stop", "x2"), ("y_stop", "y2"))]))
     cell = lambda c: F.floor(c / float(crop))
-    # A window catches boxes that start up to one box side before it; boxes here are at most one crop wide.
-    w = w.withColumn("_cx", F.explode(F.sequence(cell(F.col("x_start")) - 1, cell(F.col("x_stop"))))).withColumn(
-        "_cy", F.explode(F.sequence(cell(F.col("y_start")) - 1, cell(F.col("y_stop"))))
+    w = w.withColumn("_cx", F.explode(F.sequence(cell(F.col("x_start")) - reach, cell(F.col("x_stop"))))).withColumn(
+        "_cy", F.explode(F.sequence(cell(F.col("y_start")) - reach, cell(F.col("y_stop"))))
     )
     o = objects.withColumns({"_cx": cell(F.col("box.x1")), "_cy": cell(F.col("box.y1"))})
     joined = o.join(w.drop("rate"), ["image_id", "_cx", "_cy"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,10 +35,10 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_reach: str, b_
     return left.join(right, [*keys, "_cx", "_cy"]).filter(meets & home_cell(ra, rb, cell)).drop("_cx", "_cy")
 
 
-def shape_predictions(preds: DataFrame, scores: str, conf: float = 0.25, *, multi_label: bool = False, classes: Sequence[int] | None = None, max_nms: int = 30000) -> DataFrame:
+def shape_predictions(preds: DataFrame, scores: str, conf: float = 0.25, *, multi_label: bool = False, classes: Sequence[int] | None = None, max_nms: int | None = None) -> DataFrame:
     """Candidate detections from per-class score arrays: confidence filter, best class or one row per class, class filter.
 
-    ``max_nms`` is the pre-suppression limit per image, by score.
+    ``max_nms``, where given, is the pre-suppression limit per image, by score.
     """
     if multi_label:
         rows = preds.select("*", F.posexplode(scores).alias("cls", "conf")).filter(F.col("conf") > conf)
@@ -49,8 +50,10 @@ def shape_predictions(preds: DataFrame, scores: str, conf: float = 0.25, *, mult
     return top_detections(rows.drop(scores), max_nms)
 
 
-def top_detections(dets: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` detections per image by score; Spark limits each group before the shuffle."""
+def top_detections(dets: DataFrame, n: int | None) -> DataFrame:
+    """At most ``n`` detections per image by score, all if None; Spark limits each group before the shuffle."""
+    if n is None:
+        return dets
     w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det", "cls")
     return dets.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
@@ -119,11 +122,11 @@ def _suppress(pdf, threshold: float, agnostic: bool):
     return pdf.iloc[np.sort(np.concatenate(keep))] if keep else pdf
 
 
-def greedy_nms(dets: DataFrame, threshold: float, *, max_nms: int = 30000, max_det: int = 300, agnostic: bool = False) -> DataFrame:
+def greedy_nms(dets: DataFrame, threshold: float, *, max_nms: int | None = None, max_det: int | None = None, agnostic: bool = False) -> DataFrame:
     """Keep a box iff its IoU with every kept higher box is at most ``threshold``; then the ``max_det`` best per image.
 
-    Greedy suppression is sequential within an image and class. The pre-suppression limit ``max_nms`` of the operator
-    bounds each group. Groups reach a task sorted, in Arrow batches; a group cut by a batch end waits for its rest.
+    Greedy suppression is sequential within an image and class. Both limits are rules of a detector, off unless given:
+    ``max_nms`` before suppression bounds each group, ``max_det`` cuts the result. Groups reach a task sorted, in Arrow batches; a group cut by a batch end waits for its rest.
     """
     limited = top_detections(dets, max_nms)
     flat = limited.select("image_id", "cls", "det", "conf", *[F.col(f"box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
@@ -342,17 +345,23 @@ def unit(vector: Column) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float, max_queries: int = 1024) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float, block_bytes: int = 4 << 20) -> DataFrame:
     """Top-k cosine matches of each query with at least ``least`` similarity.
 
-    The queries travel to every task as one array, whose length is checked, so vectors are read once and never shuffled;
-    only k rows per query and task reach the final ranking.
+    Queries are packed in blocks of about ``block_bytes``. A block travels to every task as one array, so vectors are read
+    once per block and never shuffled; only k rows per query and task reach the final ranking.
     """
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    blocks = max(1, -(-size.n * 8 * max(1, size.d or 1) // block_bytes))
+    if blocks > 1:
+        of = F.pmod(F.xxhash64(key), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_topk_block(vectors, queries.filter(of == b), key, vector, k, least) for b in range(blocks)])
+    return _topk_block(vectors, queries, key, vector, k, least)
+
+
+def _topk_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
     packed = queries.agg(F.collect_list(F.struct(F.col(key).alias("query"), unit(F.col(vector)).alias("u"))).alias("q"))
-    size_ok = F.when(F.size("q") <= max_queries, F.col("q")).otherwise(
-        F.raise_error(F.lit(f"more than {max_queries} queries: search them in batches")).cast(packed.schema["q"].dataType)
-    )
-    base = vectors.select(key, unit(F.col(vector)).alias("_u")).withColumn("_q", packed.select(size_ok).scalar())
+    base = vectors.select(key, unit(F.col(vector)).alias("_u")).withColumn("_q", packed.scalar())
     each = base.select(key, "_u", F.explode("_q").alias("_q"))
     dot = F.aggregate(F.zip_with("_u", "_q.u", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     scored = each.select(F.col("_q.query").alias("query"), key, dot.alias("similarity")).filter(F.col("similarity") >= least)

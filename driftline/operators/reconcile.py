@@ -120,11 +120,11 @@ def convergence_gate(diff: DataFrame) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("material") & (F.col("count") > 0), "FAIL").otherwise("PASS"))
 
 
-def examples(diff: DataFrame, category: Column, by: Sequence[str], order: Sequence[str], each: int = 3, maximum: int = 30) -> DataFrame:
-    """A few examples per category: a report, not a result."""
+def examples(diff: DataFrame, category: Column, by: Sequence[str], order: Sequence[str], each: int = 3) -> DataFrame:
+    """``each`` examples per category: a report, not a result."""
     w = Window.partitionBy("category", *by).orderBy(*order)
     tagged = diff.withColumn("category", category).filter(F.col("category").isNotNull())
-    return tagged.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= each).drop("_n").orderBy("category", *by, *order).limit(maximum)
+    return tagged.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= each).drop("_n").orderBy("category", *by, *order)
 
 
 def signature_mismatches(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -217,7 +217,7 @@ def topk_claims(spark, sf):
 @query(
     "resolve_conflicts",
     with_tables(
-        f"""SELECT image_id, candidate, gt_id, n_claims, {rnd('q', 9, 'alignment')}, (gt_id, candidate) IN (SELECT (gt_id, candidate) FROM kept7) AS kept FROM owned7""",
+        f"""SELECT image_id, candidate, gt_id, n_claims, {rnd('q', 9, 'alignment')}, k.best IS NOT NULL AS kept FROM owned7 LEFT JOIN (SELECT DISTINCT image_id AS i, gt_id AS g, candidate AS best FROM kept7) k ON i = image_id AND g = gt_id AND best = candidate""",
         **STATE,
     ),
 )

@@ -61,7 +61,7 @@ def read_labels(spark: SparkSession, path: str, keypoints: int = 0, dims: int =
     lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
     parts = F.transform(F.split("line", r"\s+"), lambda s: s.cast("double"))
     rows = lines.filter("line <> ''").select("file", F.md5("line").alias("_id"), parts.alias("v"))
-    cls, rest = F.col("v")[0].cast("int"), F.slice("v", 2, 10_000_000)
+    cls, rest = F.col("v")[0].cast("int"), F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0)))
     if keypoints:
         width = 5 + keypoints * dims
         checked = F.when(F.size("v") == width, F.col("v")).otherwise(F.raise_error(F.lit(f"labels require {width} columns")).cast("array<double>"))
