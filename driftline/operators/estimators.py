@@ -211,6 +211,13 @@ def gram(df: DataFrame, by: Sequence[str], features: Sequence[str], outcome: str
     return df.groupBy(*by).agg(F.array(*sums).alias("gram"), F.count("*").alias("n_rows"))
 
 
+def centred(df: DataFrame, by: Sequence[str], features: Sequence[str], weight: str) -> DataFrame:
+    """Features less their weighted means in each fitted group. One aggregation; the join back is by the same key."""
+    means = df.groupBy(*by).agg(*[weighted_mean(F.col(f), F.col(weight)).alias(f"_m_{f}") for f in features])
+    joined = df.join(means, list(by))
+    return joined.withColumns({f: F.col(f) - F.col(f"_m_{f}") for f in features}).drop(*[f"_m_{f}" for f in features])
+
+
 def solve_gram(grams: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Minimum-norm weighted least squares from each group's cross-products. Input rows are one per group."""
     p = len(features) + 2

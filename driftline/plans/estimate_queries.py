@@ -415,9 +415,7 @@ def wls_log_area(spark, sf):
     """Linear probability model of the flip on log area, positive count and direction, with the area-doubling effect."""
     r = flips(ray_sets(spark, sf)).filter(evaluable(F.col("scan_limit"), F.col("o2o_event_observed") == 1, F.col("o2o_radius"), KAPPA))
     r = r.withColumns({"log_area": F.ln(F.col("w") * F.col("h")), "positives": F.size("base_ids")})
-    means = r.agg(F.avg("log_area").alias("a"), F.avg("positives").alias("p"))
-    r = r.withColumn("_m", means.select(F.struct("a", "p")).scalar())
-    r = r.withColumns({"log_area": F.col("log_area") - F.col("_m.a"), "positives": F.col("positives") - F.col("_m.p")})
+    r = es.centred(r, ["size_bin"], ["log_area", "positives"], W)
     r, names = es.dummies(r, "direction", ["down", "left", "right", "up"])
     features = ["log_area", "positives", *names]
     fit = es.solve_gram(es.gram(r, ["size_bin"], features, "o2o_flip", W), ["size_bin"], features)
