@@ -96,7 +96,7 @@ def roster_contract(spark, sf):
     return per_id.groupBy("stratum").agg(F.sum("n").alias("n_images"), (F.max("n") == 1).alias("unique_ids"))
 
 
-REPS = 60
+REPS = 1000
 _STATS = f"""SELECT image_id, size_bin, m.metric, SUM({W} * m.v) AS num, SUM({W}) AS den FROM objs CROSS JOIN LATERAL (
  SELECT UNNEST([{{'metric': 'o2o', 'v': o2o_fragile}}, {{'metric': 'o2m', 'v': o2m_fragile}}]) AS m) x GROUP BY ALL"""
 
@@ -125,7 +125,7 @@ def bootstrap_ratio(spark, sf):
     return _round_all(rs.interval(values, ["metric", "size_bin"]))
 
 
-KM_REPS = 20
+KM_REPS = 200
 
 
 _REPLICATE = {k: v.replace("size_group, estimand", "rep, size_group, estimand") for k, v in STEPS.items() if k in ("risk_rows", "km", "kmp")}
