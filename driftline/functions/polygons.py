@@ -114,3 +114,31 @@ def quad_foreground(corners: pd.Series, window: pd.Series) -> pd.Series:
         whole = _shoelace(points)
         out.append(_shoelace(_clip_to_box(points, np.asarray(win, dtype=float))) / max(whole, 1e-6))
     return pd.Series(out)
+
+
+# ---- the same predicates on arrays, for stateful steps ---------------------------------------------------------------
+
+
+def array_contains(x: np.ndarray, y: np.ndarray, polygon: Sequence[Point]) -> np.ndarray:
+    """:func:`contains` for arrays of points."""
+    inside, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    for (ax, ay), (bx, by) in _edges(polygon):
+        edge |= ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
+        if ay != by:
+            inside ^= (y >= min(ay, by)) & (y < max(ay, by)) & (x < ax + (y - ay) * ((bx - ax) / (by - ay)))
+    return inside & ~edge
+
+
+def array_segments_cross(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, line: Sequence[Point]) -> np.ndarray:
+    """:func:`segments_cross` for arrays of segments a-b."""
+    (cx, cy), (dx, dy) = line
+
+    def side(px, py, qx, qy, rx, ry):
+        return np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    def on(px, py, qx, qy, rx, ry):
+        return (rx >= np.minimum(px, qx)) & (rx <= np.maximum(px, qx)) & (ry >= np.minimum(py, qy)) & (ry <= np.maximum(py, qy))
+
+    s = side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy), side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by)
+    touch = (s[0] == 0) & on(ax, ay, bx, by, cx, cy) | (s[1] == 0) & on(ax, ay, bx, by, dx, dy) | (s[2] == 0) & on(cx, cy, dx, dy, ax, ay) | (s[3] == 0) & on(cx, cy, dx, dy, bx, by)
+    return (s[0] != s[1]) & (s[2] != s[3]) | touch

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.polygons import Point
+from ..functions.polygons import Point, array_contains, array_segments_cross
 from ..operators import linking as lk
-from ..operators.tracks import crossing_direction, in_regions
+from ..operators.tracks import in_regions
 
 POINTS = "video_id LONG, track_id LONG, frame LONG, cls STRING, cx DOUBLE, cy DOUBLE, ts TIMESTAMP"
 
@@ -65,42 +65,51 @@ def _expire(state, pdf: pd.DataFrame | None, ttl_ms: int) -> bool:
 
 
 def line_crossings(points: DataFrame, region: Sequence[Point], late: str = "10 minutes", ttl_ms: int = 86_400_000) -> DataFrame:
-    """First crossing of each track. State: last point and whether the track was counted.
+    """First crossing of each track, emitted once. State: last point and whether the track was counted; it expires.
 
-    The step test is the batch expression; state only pairs each point with the one before it.
+    Points not after the last one taken are late and dropped. The step test is that of the batch form on arrays.
     """
+    xs, ys = [p[0] for p in region], [p[1] for p in region]
+    vertical = max(xs) - min(xs) < max(ys) - min(ys)
 
     def steps(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get if state.exists else (None, None, None)
+        frame, x, y, counted = state.get if state.exists else (None, None, None, False)
         rows = pd.concat(list(frames)).sort_values("frame")
         _expire(state, rows, ttl_ms)
-        prev_frame = [last[0], *rows["frame"].tolist()[:-1]]
-        out = rows.assign(prev_cx=[last[1], *rows["cx"].tolist()[:-1]], prev_cy=[last[2], *rows["cy"].tolist()[:-1]], prev_frame=prev_frame)
-        end = rows.iloc[-1]
-        state.update((int(end["frame"]), float(end["cx"]), float(end["cy"])))
-        yield out[["video_id", "track_id", "frame", "cls", "cx", "cy", "ts", "prev_cx", "prev_cy"]]
-
-    stepped = points.withWatermark("ts", late).groupBy("video_id", "track_id").applyInPandasWithState(
-        steps, POINTS + ", prev_cx DOUBLE, prev_cy DOUBLE", "frame LONG, cx DOUBLE, cy DOUBLE", "append", GroupStateTimeout.EventTimeTimeout
+        rows = rows if frame is None else rows[rows["frame"] > frame]
+        if not len(rows):
+            return
+        cx, cy = rows["cx"].to_numpy(float), rows["cy"].to_numpy(float)
+        px, py = np.r_[np.nan if x is None else x, cx[:-1]], np.r_[np.nan if y is None else y, cy[:-1]]
+        hit = array_segments_cross(px, py, cx, cy, region) if len(region) == 2 else array_contains(cx, cy, region)
+        hit &= ~np.isnan(px)
+        first = np.flatnonzero(hit)[:1]
+        state.update((int(rows["frame"].iloc[-1]), float(cx[-1]), float(cy[-1]), bool(counted or len(first))))
+        if not counted and len(first):
+            forward = cx > px if vertical else cy > py
+            yield rows.iloc[first][["video_id", "track_id", "frame", "cls"]].assign(direction=np.where(forward[first], "IN", "OUT"), ts=rows["ts"].iloc[first])
+
+    return points.withWatermark("ts", late).groupBy("video_id", "track_id").applyInPandasWithState(
+        steps, "video_id LONG, track_id LONG, frame LONG, cls STRING, direction STRING, ts TIMESTAMP", "frame LONG, cx DOUBLE, cy DOUBLE, counted BOOLEAN", "append", GroupStateTimeout.EventTimeTimeout
     )
-    hit, direction = crossing_direction(region, F.col("prev_cx"), F.col("prev_cy"), F.col("cx"), F.col("cy"))
-    crossed = stepped.filter(F.col("prev_cx").isNotNull() & hit).withColumn("direction", direction)
-    return crossed.select("video_id", "track_id", "frame", "cls", "direction", "ts").dropDuplicates(["video_id", "track_id"])
 
 
 def repetitions(points: DataFrame, angle: str, down: float, up: float, late: str = "10 minutes", ttl_ms: int = 86_400_000) -> DataFrame:
-    """Running repetition count per track after each micro-batch. State: stage and count."""
+    """Running repetition count per track after each micro-batch. State: last frame, stage and count; late points are dropped."""
 
     def count(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        stage, n = state.get if state.exists else (None, 0)
+        last, stage, n = state.get if state.exists else (None, None, 0)
         rows = pd.concat(list(frames)).sort_values("frame")
         _expire(state, rows, ttl_ms)
+        rows = rows if last is None else rows[rows["frame"] > last]
+        if not len(rows):
+            return
         values = rows[angle].to_numpy()
         marks = np.where(values < down, "down", np.where(values > up, "up", ""))
         marks = marks[marks != ""]
@@ -108,11 +117,11 @@ def repetitions(points: DataFrame, angle: str, down: float, up: float, late: str
             chain = np.concatenate([[stage or ""], marks])
             n += int(((chain[1:] == "down") & (chain[:-1] == "up")).sum())
             stage = str(marks[-1])
-        state.update((stage, n))
+        state.update((int(rows["frame"].max()), stage, n))
         yield pd.DataFrame({"video_id": [key[0]], "track_id": [key[1]], "frame": [int(rows["frame"].max())], "count": [n], "stage": [stage]})
 
     return points.withWatermark("ts", late).groupBy("video_id", "track_id").applyInPandasWithState(
-        count, "video_id LONG, track_id LONG, frame LONG, count LONG, stage STRING", "stage STRING, n LONG", "update", GroupStateTimeout.EventTimeTimeout
+        count, "video_id LONG, track_id LONG, frame LONG, count LONG, stage STRING", "last LONG, stage STRING, n LONG", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -295,3 +295,13 @@ def test_claims_sources_progress(spark):
     assert {r["name"]: r["matches"] for r in e} == {"d": True, "x": False}
     sig = rc.signature_mismatches(spark.createDataFrame([(1, "a", None)], "k int, x string, y string"), spark.createDataFrame([(1, "b", None)], "k int, x string, y string"), ["k"], ["x", "y"]).first()
     assert sig["fields"] == ["x"]
+
+
+def test_array_predicates_equal_the_column_ones(spark):
+    rng = np.random.default_rng(6)
+    pts = rng.integers(0, 12, (400, 4)).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in pts], "ax double, ay double, bx double, by double")
+    polygon, line = [(2, 2), (9, 3), (8, 9), (3, 8)], [(3, 3), (8, 6)]
+    got = df.select(pg.contains(F.col("ax"), F.col("ay"), polygon).alias("c"), pg.segments_cross(*[F.col(c) for c in df.columns], line).alias("s")).collect()
+    assert [r.c for r in got] == pg.array_contains(pts[:, 0], pts[:, 1], polygon).tolist()
+    assert [r.s for r in got] == pg.array_segments_cross(*pts.T, line).tolist()
