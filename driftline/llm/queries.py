@@ -60,7 +60,26 @@ def op3_pii_tagger(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(docs, pii.fit(docs))
 
 
-@query("op4_license_scan")
+def _op4_sql() -> str:
+    quote = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    sets = ", ".join(f"{{'label': '{name}', 'words': {quote(sorted(set(text.split())))}}}" for name, text in licenses.TEMPLATES)
+    phrases = ", ".join(f"{{'label': '{label}', 'words': {quote(phrase.split())}}}" for phrase, label in licenses.PHRASES)
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, i, u.x.label AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d) a CROSS JOIN (SELECT unnest([{phrases}]) AS x) u
+  WHERE w[i + 1] = u.x.words[1] AND w[i + 1:i + len(u.x.words)] = u.x.words),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM p GROUP BY doc_id),
+k AS (SELECT doc_id, list_distinct(w[s + 1:s + 64]) AS block FROM (SELECT doc_id, w, unnest(range(0, len(w), 32)) AS s FROM d) a),
+t AS (SELECT doc_id, u.x.label AS label, len(list_intersect(block, u.x.words))::DOUBLE / len(u.x.words) AS share FROM k CROSS JOIN (SELECT unnest([{sets}]) AS x) u),
+m AS (SELECT doc_id, list_sort(list(DISTINCT label)) AS labels, max(share) AS best FROM t WHERE share >= 0.8 - 1e-9 GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(best, 0e0) END AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
+@query("op4_license_scan", _op4_sql())
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
