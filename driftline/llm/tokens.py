@@ -43,10 +43,10 @@ class Encoder:
             out |= {k: np.array(self.plain.encode(chunks[k], add_special_tokens=False).ids, np.uint16).tobytes() for k in odd}
             rest = [k for k in out if out[k] is None]
             return list((out | dict(zip(rest, self._learn([chunks[k] for k in rest])))).values())
+        joined = [self.separator.join(chunks[at : at + 256]) for at in range(0, len(chunks), 256)]
         out = []
-        for at in range(0, len(chunks), 2048):
-            part = chunks[at : at + 2048]
-            ids = np.array(self.split.encode(self.separator.join(part), add_special_tokens=False).ids, np.uint16)
+        for found in self.split.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(found.ids, np.uint16)
             raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 2).tolist()
             out += [raw[a:b] for a, b in zip([0, *(c + 2 for c in cuts)], [*cuts, len(raw)])]
         return out
