@@ -105,7 +105,7 @@ FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 
 @query("op7_warc_chain", OP7_SQL)
 def op7_warc_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf, "pages"), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """

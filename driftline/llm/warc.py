@@ -18,11 +18,9 @@ table gives empty archives and an empty result. Further columns are ignored.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
@@ -61,25 +59,40 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> None:
     found.select(F.concat(header, body).alias("value")).write.option("lineSep", END).text(folder)
 
 
-def candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The pieces between magics (file, seq, piece), and of each (file, split, seq, size, offset, next, header, length).
+def _fields(piece: Column, header: Column, length: Column) -> Column:
+    """What a whole record says: struct<page_id, url, record_type, refers_to, named, said, digest, bytes>."""
+    head = F.substring_index(piece, END, 1)
+    value = lambda name: F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+    number = lambda text: F.regexp_extract(text, r"(-?[0-9]+)", 1).try_cast("long")
+    body = _body(piece, header, length)
+    parts = {"page_id": number(value("WARC-Record-ID")), "url": value("WARC-Target-URI"), "record_type": value("WARC-Type"), "refers_to": number(value("WARC-Refers-To"))}
+    parts |= {"named": F.regexp_extract(value("WARC-Payload-Digest"), "sha1:(.*)", 1), "said": number(value("X-Payload-Length")), "digest": F.sha1(body), "bytes": F.octet_length(body).cast("long")}
+    return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+
+def _body(piece: Column, header: Column, length: Column) -> Column:
+    return F.substring(piece.cast("binary"), header + 1, length.cast("int"))
+
+
+def candidates(spark: SparkSession, paths: str | list[str], with_text: bool) -> DataFrame:
+    """A row per piece between magics: (file, split, size, offset, next, header, length, fields), and ``piece`` if asked for.
 
     ``offset`` is that of the magic before the piece; ``next`` is where the record that begins there says that its successor
-    begins, null if the piece is no record.
+    begins, null if the piece is no record. ``fields`` hold for records that lie in one piece.
     """
-    text = spark.read.option("lineSep", MAGIC).text(folder)
+    text = spark.read.option("lineSep", MAGIC).text(paths)
     pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("piece"))
-    head = F.substring_index("piece", END, 1)
-    length = F.when(F.locate(END, F.col("piece")) > 0, F.regexp_extract(head, r"(?:^|\r\n)Content-Length: ([0-9]{1,15})(?:\r\n|$)", 1)).otherwise("")
+    head, piece = F.substring_index("piece", END, 1), F.col("piece")
+    length = F.when(F.locate(END, piece) > 0, F.regexp_extract(head, r"(?:^|\r\n)Content-Length: ([0-9]{1,15})(?:\r\n|$)", 1)).otherwise("")
     pieces = pieces.withColumns({"size": F.octet_length("piece").cast("long") + len(MAGIC), "header": F.octet_length(head) + len(END), "length": F.when(length != "", length.cast("long"))})
-    pieces = stored(pieces, "snappy")
+    pieces = pieces.withColumn("fields", F.when(F.col("length").isNotNull(), _fields(piece, F.col("header"), F.col("length"))))
+    pieces = stored(pieces if with_text else pieces.drop("piece"))
     totals = pieces.groupBy("file", "split").agg(F.sum("size").alias("n"))  # a row for each split
     base = totals.select(F.col("file").alias("f"), F.col("split").alias("s"), (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("base"))
     inside = F.sum("size").over(Window.partitionBy("file", "split").orderBy("seq")) - F.col("size")
-    light = pieces.drop("piece").withColumn("inside", inside).join(base, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
-    light = light.withColumn("offset", F.col("base") + F.col("inside") - len(MAGIC))
-    following = F.col("offset") + len(MAGIC) + F.col("header") + F.col("length") + len(END)
-    return pieces.select("file", "seq", "piece"), light.select("file", "split", "seq", "size", "offset", following.alias("next"), "header", "length")
+    placed = pieces.withColumn("inside", inside).join(base, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    placed = placed.withColumn("offset", F.col("base") + F.col("inside") - len(MAGIC)).drop("f", "s", "base", "inside", "seq")
+    return stored(placed.withColumn("next", F.col("offset") + len(MAGIC) + F.col("header") + F.col("length") + len(END)))
 
 
 def _follow(offsets: np.ndarray, nexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,32 +142,33 @@ def reachable(light: DataFrame) -> DataFrame:
     return marked.groupBy("file", "split").applyInPandas(walk, "file string, offset long")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of all records; a revisit has a null payload.
 
-    Responses' sizes and digests are those of the bytes read; a record whose digest header differs raises an error.
+    Without ``payload`` that column is left out, and only files in which a magic cuts a record are read again. Sizes and
+    digests of responses are those of the bytes read; a record whose digest header differs raises an error.
     """
-    pieces, light = candidates(spark, folder)
-    light = stored(light)
-    kept = stored(reachable(light).join(light, ["file", "offset"]).select("file", "seq", "offset", "next", "header", "length", "size"))
-    # a record lies in its own piece unless a magic inside cut it
-    single = kept.filter("next <= offset + size").join(pieces, ["file", "seq"]).select("file", "offset", "header", "length", "piece")
-    broken = kept.filter("next > offset + size").select("file", F.col("offset").alias("start"), "next", "header", "length")
-    parts = broken.join(light.select("file", "offset", "seq"), "file").filter("offset >= start AND offset < next").join(pieces, ["file", "seq"])
-    whole = parts.groupBy("file", "start", "header", "length").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("p")).select("file", F.col("start").alias("offset"), "header", "length", F.array_join(F.transform("p", lambda x: x["piece"]), MAGIC).alias("piece"))
-    record = single.unionByName(whole)
-    head = F.substring_index("piece", END, 1)
-    value = lambda name: F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    number = lambda text: F.when(F.regexp_extract(text, r"(-?[0-9]+)", 1) != "", F.regexp_extract(text, r"(-?[0-9]+)", 1).cast("long"))
-    body = F.substring(F.col("piece").cast("binary"), F.col("header") + 1, F.col("length").cast("int"))
-    fields = record.select(number(value("WARC-Record-ID")).alias("page_id"), value("WARC-Target-URI").alias("url"), value("WARC-Type").alias("record_type"), number(value("WARC-Refers-To")).alias("refers_to"), F.regexp_extract(value("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("named"), value("X-Payload-Length").cast("long").alias("said"), body.alias("body"))
+    rows = candidates(spark, folder, payload)
+    kept = stored(reachable(rows).join(rows, ["file", "offset"]))
+    cut = F.col("next") > F.col("offset") + F.col("size")
+    text = [F.when(F.col("fields.record_type") == "response", _body(F.col("piece"), F.col("header"), F.col("length")).cast("string")).alias("payload")] if payload else []
+    found = kept.filter(~cut).select("fields", *text)
+    broken = kept.filter(cut).select("file", F.col("offset").alias("start"), F.col("next").alias("stop"), F.col("header").alias("h"), F.col("length").alias("l"))
+    files = [r.file for r in broken.select("file").distinct().collect()]  # a row for each archive with such a record
+    if files:
+        parts = rows if payload else candidates(spark, files, True)
+        parts = broken.join(parts.select("file", "offset", "piece"), "file").filter("offset >= start AND offset < stop")
+        whole = parts.groupBy("file", "start", "h", "l").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "piece"))), lambda x: x["piece"]), MAGIC).alias("piece"))
+        whole = whole.select("piece", F.col("h").alias("header"), F.col("l").alias("length")).withColumn("fields", _fields(F.col("piece"), F.col("header"), F.col("length")))
+        found = found.unionByName(whole.select("fields", *text))
     response = F.col("record_type") == "response"
-    own = F.sha1("body")
-    digest = F.when(response, F.when(own == F.col("named"), own).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("url"))).cast("string"))).otherwise(F.col("named"))
-    return fields.select("page_id", "url", F.when(response, F.col("body").cast("string")).alias("payload"), F.when(response, F.octet_length("body").cast("long")).otherwise(F.col("said")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    differs = F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("url"))).cast("string")
+    digest = F.when(~response, F.col("named")).when(F.col("digest") == F.col("named"), F.col("digest")).otherwise(differs)
+    names = ["page_id", "url", *(["payload"] if payload else [])]
+    return found.select("fields.*", *(["payload"] if payload else [])).select(*names, F.when(response, F.col("bytes")).otherwise(F.col("said")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, least: int = 1000) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str | None = None, least: int = 1000, payload: bool = True) -> DataFrame:
     folder = folder or f"{scratch(pages.sparkSession)}/{uuid.uuid4().hex}"
     write(pages, folder, least)
-    return read(pages.sparkSession, folder)
+    return read(pages.sparkSession, folder, payload)
