@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes
 next one. Stages keep all columns of the documents but the last, whose rows are pieces of packed sequences.
 
 - toxicity: documents of score 0.3 or more go; the lexicon is learned from labelled rows outside the held-out fold.
-- near_duplicates: one document of each class of close fingerprints stays, that of the smallest id.
+- near_duplicates: one document of each class stays, that of the smallest id; texts of five-word Jaccard similarity 0.8 or more,
+  verified on the texts, and close fingerprints make a class.
 - decontamination: documents that hold a benchmark item go.
 - personal_data: spans of personal data in the text are replaced by their kind; no document goes.
 - packing: ids of what is left, packed into sequences of 4096 tokens.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, packing, pii, simhash, toxicity
+from driftline.llm import decontaminate, nearcopies, packing, pii, toxicity
 from driftline.llm.common import free_name, stored
 from driftline.llm.queries import table, tokenizer_file, toxicity_model
 
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

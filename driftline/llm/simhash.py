@@ -30,9 +30,13 @@ _SPACES = str.maketrans(dict.fromkeys(map(chr, range(9, 14)), " "))
 SEED = 42
 
 
+def words_of(text: str | None) -> list[str]:
+    return [w for w in (text or "").translate(TO_LOWER).translate(_SPACES).split(" ") if w]
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64 bits; a bit is set if it is set in over half of the shingle hashes."""
-    words = [w for w in (text or "").translate(TO_LOWER).translate(_SPACES).split(" ") if w]
+    words = words_of(text)
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -163,15 +167,21 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3) -> DataF
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest doc_id; of equal ids one row, chosen by a hash of all columns."""
-    name, own, of = free_name(docs, "row"), free_name(docs, "kept_id"), free_name(docs, "kept_row")
-    marked = docs.withColumn(name, F.xxhash64(*docs.columns))
-    prints = stored(fingerprints(marked, width, F.col(name)))
+def first_rows(marked: DataFrame, name: str, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """``marked`` without column ``name``, the hash of a row: the first row of each class; ``prints``: (doc_id, row, fp), ``roots``: (fp, root)."""
+    own, of = free_name(marked, "kept_id"), free_name(marked, "kept_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = prints.join(classes(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.row").alias(of))
+    kept = prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.row").alias(of))
     out = marked.join(stored(kept), F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(name) == F.col(of)), "left_semi")
     twice = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1")
     if not twice.isEmpty():  # rows that are equal in every column
         out = out.dropDuplicates(["doc_id", name])
     return out.drop(name)
+
+
+def keep_one(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id; of equal ids one row, chosen by a hash of all columns."""
+    name = free_name(docs, "row")
+    marked = docs.withColumn(name, F.xxhash64(*docs.columns))
+    prints = stored(fingerprints(marked, width, F.col(name)))
+    return first_rows(marked, name, prints, classes(prints, distance).select("fp", "root"))
