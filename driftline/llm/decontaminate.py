@@ -2,12 +2,14 @@
 
 Items are indexed in shards of at most ``per_shard`` items, so that what a task receives is bounded whatever the size of the
 benchmark; every text meets every shard. A text is cut into passages of 96 words, one every 32 words, so each run of up to
-64 words lies in one passage. A passage is a query; an item is retrieved if its BM25 score is at least ``share`` of the score
-the item gets from its own text. Block-max WAND decides what is scored:
+64 words lies in one passage. A passage is a query; an item is retrieved if its BM25 score is at least ``share`` of the least
+score that a run of 64 words of the item gets (one every 32 words, and the last; of a shorter item, its whole text). A text
+that holds any such run has it in one passage, so an item of any length is retrieved by each of them, and then verified as a
+whole. Block-max WAND decides what is scored:
 
 1. each block of 16 items has an upper bound for a passage: the greatest impact on an item of the block of each rare word
       that stands in it, added up over the passage's three parts of 32 words; the long postings of frequent words are not read
-   here, each item's threshold is lowered by all that they could add;
+   here, each item's threshold is lowered by all that as many of them as a passage has words could add;
 2. only blocks whose bound reaches the lowest such threshold of their items are scored, with all words.
 
 So nothing that reaches its threshold is lost. A retrieved
@@ -62,6 +64,13 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def runs(words: list[str]) -> list[list[str]]:
+    """Runs of 64 words, one every 32 words and the last; each lies in one passage of a text that holds it."""
+    most = PASSAGE - STRIDE
+    last = max(0, len(words) - most)
+    return [words[k : k + most] for k in sorted({*range(0, last, STRIDE), last})]
+
+
 class Index:
     """BM25 impacts of a shard of items; a passage asks with its distinct words."""
 
@@ -80,11 +89,14 @@ class Index:
             idf = np.log(1 + (len(items) - len(postings[w]) + 0.5) / (len(postings[w]) + 0.5))
             for k, tf in postings[w].items():
                 self.impacts[t, k] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(texts[k]) / mean))
-        own = np.array([self.impacts[list({self.terms[w] for w in t}), k].sum() if t else np.inf for k, t in enumerate(texts)])
+        own = np.array([min(self.impacts[list({self.terms[w] for w in run}), k].sum() for run in runs(t)) if t else np.inf for k, t in enumerate(texts)])
         self.threshold = (share * own).astype(np.float32)
         spread = (self.impacts > 0).sum(axis=1)
         self.rare = (spread > 0) & (spread <= max(4, 0.05 * len(items)))
-        needed = self.threshold - (self.impacts * ~self.rare[:, None]).sum(axis=0)
+        frequent = self.impacts[~self.rare]
+        if len(frequent) > PASSAGE:  # a passage has no more words than that
+            frequent = np.partition(frequent, len(frequent) - PASSAGE, axis=0)[-PASSAGE:]
+        needed = self.threshold - frequent.sum(axis=0)
         order = np.argsort(needed, kind="stable")  # items of like thresholds share a block
         self.ids, self.parts = [self.ids[k] for k in order], [self.parts[k] for k in order]
         self.impacts, self.threshold, needed = self.impacts[:, order], self.threshold[order], needed[order]
