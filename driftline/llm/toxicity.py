@@ -1,7 +1,10 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding lowers A-Z, maps look-alike letters to Latin ones, drops zero-width characters and reads digits and signs inside or
-before letters as the letters they stand for. Lexicon entries are whole words or word beginnings (``stem*``), weighted by
+Folding lowers A-Z, maps look-alike letters to Latin ones, drops zero-width characters and reads digits and signs as the
+letters they stand for, in runs of letters and signs that hold a letter: all that stand between letters, and digits before
+them. Signs before the first and after the last letter can be punctuation too, so such a run is also matched and learned with
+them read, all or but for closing exclamation marks. Numbers with a unit or ordinal, hexadecimal hashes and mail addresses
+stay as they are. Lexicon entries are whole words or word beginnings (``stem*``), weighted by
 their log odds in toxic against other texts. A hit inside an exception phrase does not count. The score is a logistic
 function of the summed weight and of that sum per word, so length counts.
 
@@ -37,21 +40,56 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 ZERO_WIDTH = "​‌‍⁠﻿­"
 
 _FOLD = str.maketrans(UPPER, LOWER) | str.maketrans(LOOKS[:26], LATIN[:26]) | str.maketrans(LOOKS[26:], LATIN[26 : len(LOOKS)]) | {0xFF21 + k: LOWER[k] for k in range(26)} | {0xFF41 + k: LOWER[k] for k in range(26)} | dict.fromkeys(map(ord, ZERO_WIDTH))
-_SIGN = re.compile(r"[013457@$!](?=[a-z])")
+_RUN = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$!](?:[^\W\d_]|[013457@$!])*")
+_ENDS = re.compile(r"[013457@$!]*")
+_NUMBER = re.compile(r"[@$!]*\d+(?:st|nd|rd|th|am|pm|kg|km|cm|mm|gb|mb|kb|tb|px|ms|hz|[a-z])?[@$!]*|[@$!]*\d\d+[a-z]{1,2}[@$!]*")
+_HASH = re.compile(r"(?<![^\W_])(?=[a-f]*\d)[0-9a-f]{8,}(?![^\W_])")
+_MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+_READ = str.maketrans(SIGNS)
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)
 
 
-def fold(text: str | None) -> str:
-    def letter(m: re.Match) -> str:
-        at, s = m.start(), m.string
-        before = s[at - 1] if at else " "
-        inside = before.isalpha() or before in SIGNS and at > 1 and s[at - 2].isalpha()
-        opens = not before.isalnum() and not before == "_" and s[at + 1 : at + 3].isalpha() and len(s) > at + 2
-        return SIGNS[m[0]] if inside or opens and m[0].isdigit() else m[0]
-
+def forms(text: str | None) -> tuple[str, list[tuple[int, str]]]:
+    """The folded text, and (place, run) of further readings of runs with signs at an end; all readings keep the length."""
     out = (text or "").translate(_FOLD)
-    return _SIGN.sub(letter, out) if _SIGN.search(out) else out
+    first = next(_RUN.finditer(out), None)
+    if first is None:
+        return out, []
+    kept = [m.span() for m in _HASH.finditer(out)]
+    if "@" in out:
+        kept += [m.span() for m in _MAIL.finditer(out)]
+    kept.sort()
+    others: list[tuple[int, str]] = []
+    parts, done, at = [], 0, 0
+    for m in _RUN.finditer(out, first.start()):
+        run, a, b = m[0], *m.span()
+        while at < len(kept) and kept[at][1] <= a:
+            at += 1
+        if at < len(kept) and kept[at][0] < b or _NUMBER.fullmatch(run):
+            continue
+        lead = _ENDS.match(run).end()
+        if lead == len(run):  # no letter
+            continue
+        body = len(run) - _ENDS.match(run[::-1]).end()
+        if a and out[a - 1].isdigit():  # goes on from a number
+            heads = [run[:lead]]
+        elif run[:lead].isdigit():
+            heads = [run[:lead].translate(_READ), run[:lead]]
+        else:
+            heads = [run[:lead], run[:lead].translate(_READ)]
+        loud = body + len(run[body:].rstrip("!"))
+        tails = [run[body:]] if b < len(out) and out[b].isdigit() else [run[body:], run[body:loud].translate(_READ) + run[loud:], run[body:].translate(_READ)]
+        inner = run[lead:body].translate(_READ)
+        every = list(dict.fromkeys(h + inner + t for h in heads for t in tails))
+        parts += [out[done:a], every[0]]
+        done = b
+        others += [(a, x) for x in every[1:]]
+    return "".join([*parts, out[done:]]), others
+
+
+def fold(text: str | None) -> str:
+    return forms(text)[0]
 
 
 def terms(words: set[str]) -> set[str]:
@@ -73,8 +111,23 @@ class Model:
         found.make_automaton()
         return found
 
-    def hits(self, folded: str, automaton) -> list[tuple[int, int, float]]:
-        """(from, to, weight), the longest entry where several begin at a place."""
+    def hits(self, folded: str, automaton, others: list[tuple[int, str]] = ()) -> list[tuple[int, int, float]]:
+        """(from, to, weight), the longest entry where several begin at a place, in one reading of each run."""
+        found = self._hits(folded, automaton)
+        by: dict[int, list] = {}
+        for at, run in others:
+            own = [(at + a, at + b, w) for a, b, w in self._hits(run, automaton)[0]]
+            if sum(w for *_, w in own) > sum(w for *_, w in by.get(at, ())):
+                by[at] = own
+        out, spared = found
+        for at, own in by.items():
+            end = at + next(len(x) for k, x in others if k == at)
+            inside = [h for h in out if at <= h[0] < end]
+            if sum(w for *_, w in own) > sum(w for *_, w in inside):
+                out = [h for h in out if not at <= h[0] < end] + own
+        return sorted((a, b, w) for a, b, w in out if not any(x <= a and b <= y for x, y in spared))
+
+    def _hits(self, folded: str, automaton) -> tuple[list, list]:
         best: dict[int, tuple[int, float]] = {}
         spared = []
         for last, key in automaton.iter(folded):
@@ -89,14 +142,15 @@ class Model:
             weight = max((w for w in (weight, stem) if w is not None), default=None)
             if weight is not None and b > best.get(a, (0, 0))[0]:
                 best[a] = (b, weight)
-        return [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(x <= a and b <= y for x, y in spared)]
+        return [(a, b, w) for a, (b, w) in best.items()], spared
 
 
 def measures(text: str | None, model: Model, automaton) -> tuple[float, float, int]:
     """Summed weight, its ratio to the words, and the number of hits."""
     if not model.weights or not text:
         return 0.0, 0.0, 0
-    hits = model.hits(fold(text), automaton)
+    folded, others = forms(text)
+    hits = model.hits(folded, automaton, others)
     total = sum(w for _, _, w in hits)
     return total, total / (1 + text.count(" ") + text.count("\n")), len(hits)
 
@@ -127,9 +181,9 @@ def counted(rows: DataFrame, label: int, model: Model | None, only: frozenset |
         for batch in batches:
             for part in slices(batch, "text"):
                 found: Counter = Counter()
-                for folded in map(fold, part.column("text").to_pylist()):
-                    if automaton is None or not model.hits(folded, automaton):
-                        own = terms(set(WORD.findall(folded))) | {TEXTS}
+                for folded, others in map(forms, part.column("text").to_pylist()):
+                    if automaton is None or not model.hits(folded, automaton, others):
+                        own = terms({w for t in (folded, *(x for _, x in others)) for w in WORD.findall(t)}) | {TEXTS}
                         found.update(own if only is None else own & only)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
@@ -192,9 +246,9 @@ def spared(rows: DataFrame, model: Model, least: int = 5) -> frozenset:
         for batch in batches:
             found: Counter = Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                folded = fold(text)
+                folded, others = forms(text)
                 pairs = set()
-                for a, _, _ in model.hits(folded, automaton):
+                for a, _, _ in model.hits(folded, automaton, others):
                     before, after = folded[max(0, a - 40) : a].split(" "), folded[a : a + 80].split(" ")
                     if len(before) > 1 and before[-1] == "" and before[-2]:
                         pairs.add(f"{before[-2]} {after[0]}")
