@@ -8,6 +8,11 @@ stay as they are. Lexicon entries are whole words or word beginnings (``stem*``)
 their log odds in toxic against other texts. A hit inside an exception phrase does not count. The score is a logistic
 function of the summed weight and of that sum per word, so length counts.
 
+An entry must stand in at least ``least_count`` toxic texts of the sample that earlier entries don't explain, with log odds of
+``least_weight`` or more and a log-likelihood ratio (G) of ``least_ratio`` or more against the other texts, which is a chance
+of about one in a million; the share of the toxic texts that it explains plays no part. Among more than ``candidates`` such
+terms those of the greatest ratio are taken.
+
 Learning takes a sample of about ``fit_rows`` labelled rows of each class, chosen by a hash of the id; entries, exceptions
 and calibration come from counts that Spark makes over that sample. ``fit_rows``, ``candidates`` and ``entries`` bound the
 model and what the driver sees. Scoring covers every row.
@@ -206,7 +211,7 @@ def chosen(odds: dict[str, float], positive: dict[str, int], most: int) -> dict[
     return {t: kept[t] for t in sorted(alone, key=lambda t: (-positive[t] * kept[t], t))[:most]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates: int = 20_000, entries: int = 4_096, least_weight: float = 3.0, least_share: float = 0.04, rounds: int = 8, exceptions: tuple[str, ...] = ()) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates: int = 20_000, entries: int = 4_096, least_weight: float = 3.0, least_count: int = 5, least_ratio: float = 24.0, rounds: int = 8, exceptions: tuple[str, ...] = ()) -> Model:
     """Lexicon, exception phrases and calibration from labelled rows; ``exceptions`` are added to the learned ones."""
     rows = sampled(docs, labels, fit_rows)
     if rows is None:
@@ -214,17 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates:
         p = ((share.a or 0) + 0.5) / (share.n + 1)
         return Model(curve=(float(np.log(p / (1 - p))), 0.0, 0.0))
     rows = rows.persist()
+    clean = counted(rows, 0, None, None).withColumnRenamed("n", "m").persist()
     try:
         sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         toxic, other = sizes.get(1, 0), sizes.get(0, 0)
         model = Model({}, frozenset(fold(e) for e in exceptions))
         left, had = toxic, 0
         for _ in range(rounds):  # each round learns from the toxic texts that the entries so far do not explain
-            support = max(3, least_share * left)
-            positive = {r.term: r.n for r in counted(rows, 1, model, None).filter(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(candidates).collect()}
-            negative = {r.term: r.n for r in counted(rows, 0, None, frozenset(positive)).collect()}  # at most ``candidates`` rows
-            odds = {t: float(np.log((n + 0.5) / (left + 1)) - np.log((negative.get(t, 0) + 0.5) / (other + 1))) for t, n in positive.items() if t != TEXTS}
-            model.weights |= chosen({t: w for t, w in odds.items() if w >= least_weight}, positive, entries - len(model.weights))
+            both = counted(rows, 1, model, None).filter((F.col("n") >= least_count) & (F.col("term") != TEXTS)).join(clean, "term", "left").fillna(0, ["m"])
+            n, m = F.col("n").cast("double"), F.col("m").cast("double")
+            part = lambda k, size: F.when(k > 0, k * F.log(k * (left + other) / ((n + m) * size))).otherwise(0.0)
+            without = lambda k, size: F.when(k < size, (size - k) * F.log((size - k) * (left + other) / ((left + other - n - m) * size))).otherwise(0.0)
+            ratio = 2 * (part(n, left) + part(m, other) + without(n, left) + without(m, other))
+            odds_of = F.log((n + 0.5) / (left + 1)) - F.log((m + 0.5) / (other + 1))
+            found = both.select("term", "n", odds_of.alias("odds"), ratio.alias("ratio")).filter((F.col("odds") >= least_weight) & (F.col("ratio") >= least_ratio))
+            found = found.orderBy(F.desc("ratio"), "term").limit(candidates).collect()
+            positive, odds = {r.term: r.n for r in found}, {r.term: r.odds for r in found}
+            model.weights |= chosen(odds, positive, entries - len(model.weights))
             if len(model.weights) in (had, entries):
                 break
             had = len(model.weights)
@@ -235,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates:
         model.curve = calibrated(rows, model)
         return model
     finally:
+        clean.unpersist()
         rows.unpersist()
 
 
