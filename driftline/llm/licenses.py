@@ -1,6 +1,8 @@
 """License notices: exact phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A text is cut into blocks of 64 words, one every 32 words, so each run of up to 32 words lies in one block. The join finds
+Notices are whole; those of more than 32 words are joined in pieces of about equal length, at most 32 words each, and every
+piece gives the notice's label. Notices that have a paragraph in common (the warranty of mit-notice and unlicense) are both
+reported where it stands alone. A text is cut into blocks of 64 words, one every 32 words, so each run of up to 32 words lies in one block. The join finds
 every block whose set of words contains at least ``threshold`` of a template's set. Only words of the templates can
 overlap, so blocks are reduced to those; words are ordered by their count over all documents, rarest first. A pair that
 reaches the overlap ``o`` must share a word among the template's first ``|T| - o + 1`` and the block's first ``|B| - o + 1``
@@ -37,8 +39,8 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Opening words of well-known notices, at most 32 words each.
-TEMPLATES = (
+# Well-known notices; further words of a notice follow below under the same name.
+NOTICES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0-notice", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
@@ -49,17 +51,51 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2.0-notice", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-notice", "either version 3 of the license or at your option any later version"),
+    ("gpl-notice", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-notice", "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
+    ("mit-notice", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-notice", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-notice", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-notice", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-notice", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc-notice", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-notice", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("cc-by-4.0", "to view a copy of this license visit http creativecommons org licenses by 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
+    ("unlicense", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
 )
 
+
+def pieces(notices: tuple) -> tuple:
+    """(name, words) of at most 32 words each; a longer notice is cut into parts of about equal length."""
+    out = []
+    for name, text in notices:
+        words = WORD.findall(text.translate(TO_LOWER))
+        n = -(-len(words) // STEP)
+        out += [(name, " ".join(words[k * len(words) // n : (k + 1) * len(words) // n])) for k in range(n)]
+    return tuple(out)
+
+
+TEMPLATES = pieces(NOTICES)
+
 _SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, blocks array<array<int>>, counts array<long>"
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score); score is the best containment, 1 for a phrase."""
-    sets = {name: sorted(set(WORD.findall(text.translate(TO_LOWER)))) for name, text in templates}
-    vocabulary = {w: k for k, w in enumerate(sorted(set(chain.from_iterable(sets.values()))))}
-    need = {name: ceil(threshold * len(s) - 1e-9) for name, s in sets.items()}
-    least = min(need.values())
+    sets = [(name, sorted(set(text.split(" ")))) for name, text in pieces(templates)]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, s in sets for w in s}))}
+    need = [ceil(threshold * len(s) - 1e-9) for _, s in sets]
+    least = min(need)
+    holds = np.zeros((len(vocabulary), len(sets)), np.float32)
+    for k, (_, s) in enumerate(sets):
+        holds[[vocabulary[w] for w in s], k] = 1
     phrases = [(p.split(" "), label) for p, label in PHRASES]
 
     def base(words: list[str]) -> tuple:
@@ -88,6 +124,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = 0.8)
                 tail[(first + steps - 1)[steps > 0]] = True
                 seen[:-1] |= seen[1:] & ~tail[:-1, None]
                 full = np.flatnonzero(seen[:, :size].sum(axis=1) >= least)
+                full = full[(seen[full, :size].astype(np.float32) @ holds >= np.array(need)).any(axis=1)]  # the overlap with some piece, before the join
                 blocks: list[list] = [[] for _ in lists]
                 owner = np.repeat(np.arange(len(lists)), steps)
                 for k in full.tolist():
@@ -105,9 +142,9 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = 0.8)
         total[r.k] = r.n
     rank = {k: i for i, k in enumerate(sorted(total, key=lambda k: (total[k], k)))}
     index = []
-    for name, words in sets.items():
+    for (name, words), most in zip(sets, need):
         own = sorted(rank[vocabulary[w]] for w in words)
-        index += [(r, i, len(own), need[name], name, own) for i, r in enumerate(own[: len(own) - need[name] + 1])]
+        index += [(r, i, len(own), most, name, own) for i, r in enumerate(own[: len(own) - most + 1])]
     prefixes = spark.createDataFrame(index, "word int, i int, size int, need int, template string, own array<int>")
     ranks = F.array(*[F.lit(rank[k]) for k in range(len(vocabulary))])
     ordered = F.array_sort(F.transform("block", lambda x: F.element_at(ranks, x + 1)))
