@@ -9,8 +9,8 @@ their log odds in toxic against other texts. A hit inside an exception phrase do
 function of the summed weight and of that sum per word, so length counts.
 
 An entry must stand in at least ``least_count`` toxic texts of the sample that earlier entries don't explain, with log odds of
-``least_weight`` or more and a log-likelihood ratio (G) of ``least_ratio`` or more against the other texts, which is a chance
-of about one in a million; the share of the toxic texts that it explains plays no part. Among more than ``candidates`` such
+``least_weight`` or more and a log-likelihood ratio (G) against the other texts of twice the logarithm of the sample's size or
+more; the share of the toxic texts that it explains plays no part. Among more than ``candidates`` such
 terms those of the greatest ratio are taken.
 
 Learning takes a sample of about ``fit_rows`` labelled rows of each class, chosen by a hash of the id; entries, exceptions
@@ -211,7 +211,7 @@ def chosen(odds: dict[str, float], positive: dict[str, int], most: int) -> dict[
     return {t: kept[t] for t in sorted(alone, key=lambda t: (-positive[t] * kept[t], t))[:most]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates: int = 20_000, entries: int = 4_096, least_weight: float = 3.0, least_count: int = 5, least_ratio: float = 24.0, rounds: int = 8, exceptions: tuple[str, ...] = ()) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates: int = 20_000, entries: int = 4_096, least_weight: float = 3.0, least_count: int = 3, rounds: int = 8, exceptions: tuple[str, ...] = ()) -> Model:
     """Lexicon, exception phrases and calibration from labelled rows; ``exceptions`` are added to the learned ones."""
     rows = sampled(docs, labels, fit_rows)
     if rows is None:
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, candidates:
             without = lambda k, size: F.when(k < size, (size - k) * F.log((size - k) * (left + other) / ((left + other - n - m) * size))).otherwise(0.0)
             ratio = 2 * (part(n, left) + part(m, other) + without(n, left) + without(m, other))
             odds_of = F.log((n + 0.5) / (left + 1)) - F.log((m + 0.5) / (other + 1))
-            found = both.select("term", "n", odds_of.alias("odds"), ratio.alias("ratio")).filter((F.col("odds") >= least_weight) & (F.col("ratio") >= least_ratio))
+            found = both.select("term", "n", odds_of.alias("odds"), ratio.alias("ratio")).filter((F.col("odds") >= least_weight) & (F.col("ratio") >= 2 * np.log(toxic + other)))
             found = found.orderBy(F.desc("ratio"), "term").limit(candidates).collect()
             positive, odds = {r.term: r.n for r in found}, {r.term: r.odds for r in found}
             model.weights |= chosen(odds, positive, entries - len(model.weights))
