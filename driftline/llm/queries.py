@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, huffman, licenses, packing, pii, simhash, topk, toxicity, warc
+from . import ctw, decontaminate, huffman, itq, licenses, packing, phrases, pii, simhash, spelling, topk, toxicity, warc
 from .common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,67 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+OP11_SQL = """
+WITH RECURSIVE ok AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS v, len(embedding) AS d FROM embeddings WHERE len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b, b.vec_id AS id FROM ok a JOIN ok b ON a.k <> b.k AND a.d = b.d WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT a, b, id FROM l UNION SELECT r.a, l.b, l.id FROM r JOIN l ON l.a = r.b),
+n AS (SELECT k, vec_id, (SELECT count(*) FROM l WHERE l.a = k) AS n_links, least(vec_id, (SELECT min(id) FROM r WHERE r.a = k)) AS component_id FROM ok
+  UNION ALL SELECT NULL, vec_id, 0, vec_id FROM embeddings WHERE NOT coalesce(len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false))
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM n
+"""
+
+
+@query("op11_itq_vectors", OP11_SQL)
+def op11_itq_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w[i + 1:i + k] AS p FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, p, len(p) AS k, count(*) AS c FROM g GROUP BY lang, p HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT c.lang, c.p, c.c AS a, l.c AS l, r.c AS r, ((2000000::HUGEINT * c.c) // (l.c + r.c))::BIGINT AS score, j
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f) c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:j] JOIN f r ON r.lang = c.lang AND r.p = c.p[j + 1:c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+o AS (SELECT lang, p[i + 1:i + m] AS p, max(c) AS over FROM (SELECT *, unnest(range(k - m + 1)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f)) GROUP BY 1, 2),
+t AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.p = b.p WHERE coalesce(100 * over < 80 * a, true)),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+# crc32 half a byte at a time; its sixteen constants follow from the polynomial
+OP13_SQL = r"""
+WITH RECURSIVE z AS (SELECT list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS z),
+u AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+q AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM u WHERE len(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(len(x)), lambda i: strpos('0123456789ABCDEF', substr(x, xor(i, 1) + 1, 1)) - 1)),
+  lambda c, y: xor(c // 16, z[xor(c % 16, y) + 1])), 4294967295) AS h FROM q CROSS JOIN z),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON w.word = v.rest UNION SELECT w.word, v.word, v.n FROM v JOIN w ON w.word = v.rest),
+b AS (SELECT word, count(*) AS n_near FROM p GROUP BY word),
+t AS (SELECT word, near, n FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, near) = 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN t.n >= 5 * w.n THEN near END AS form, CASE WHEN t.n >= 5 * w.n THEN t.n END AS form_n
+  FROM w LEFT JOIN b ON b.word = w.word LEFT JOIN t ON t.word = w.word),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at AND e.form IS NULL
+"""
+
+
+@query("op13_spelling", OP13_SQL)
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
