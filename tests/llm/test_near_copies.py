@@ -60,3 +60,30 @@ def test_share_of_pairs_that_meet_in_a_band():
         a, b = np.unique(pool[:162]), np.unique(np.concatenate([pool[:144], pool[162:]]))  # 144 of 180: 0.8
         met += bool(((nearcopies.minima(a) == nearcopies.minima(b)).reshape(nearcopies.BANDS, -1)).all(axis=1).any())
     assert met == 2000
+
+
+def test_many_copies_around_the_threshold(spark, monkeypatch):
+    """A hot group whose copies are similar to each other or just not, beside texts that only share a long passage."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    fresh = iter(f"v{k}" for k in range(100_000))
+    base = [next(fresh) for _ in range(150)]
+    texts = []
+    for _ in range(70):
+        places = set(rng.integers(0, 150, int(rng.integers(0, 9))).tolist())
+        texts.append([next(fresh) if k in places else w for k, w in enumerate(base)])
+    for _ in range(12):  # copies of a copy that is no longer similar to the base
+        places = set(rng.integers(0, 150, 2).tolist())
+        texts.append([next(fresh) if k in places else w for k, w in enumerate(texts[-1] if rng.random() < 0.3 else [*base[:90], *(f"u{j}" for j in range(60))])])
+    passage = [next(fresh) for _ in range(120)]
+    texts += [[*passage, *(next(fresh) for _ in range(60))] for _ in range(40)]
+    texts = [" ".join(t) for t in texts]
+    label, prints = list(range(len(texts))), [simhash.fingerprint(t) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8 or bin(prints[a] ^ prints[b]).count("1") <= 2:
+                old, new = label[a], label[b]
+                label = [min(old, new) if x in (old, new) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == sorted(set(label))
+    assert 45 < len(set(label)) < len(texts)
