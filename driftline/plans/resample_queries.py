@@ -11,12 +11,10 @@ from ..operators import estimators as es
 from ..operators import inference as inf
 from ..operators import reconcile as rc
 from ..operators import resample as rs
-from ..operators import survival as sv
 from .estimate_queries import BASE, CARRY, OBJECT, W, _round_all, flips, objects, wm
 from .fixtures import gt, rays, roster, second_rays, table
 from .oracle import rnd, with_tables
 from .registry import query
-from .survival_queries import STEPS, long_events, one_cause
 
 SEED = 20260901
 
@@ -125,66 +123,6 @@ def bootstrap_ratio(spark, sf):
     return _round_all(rs.interval(values, ["metric", "size_bin"]))
 
 
-KM_REPS = 200
-
-
-_REPLICATE = {k: v.replace("size_group, estimand", "rep, size_group, estimand") for k, v in STEPS.items() if k in ("risk_rows", "km", "kmp")}
-
-
-@query(
-    "bootstrap_km",
-    with_tables(
-        interval_sql("vals", "size_group, estimand"),
-        **mult_sql(KM_REPS),
-        **_REPLICATE,
-        sized=STEPS["sized"],
-        times="""SELECT rep, size_group, estimand, COALESCE(radius, censor) AS time, SUM(copies * sampling_weight) AS leaving, SUM(copies * sampling_weight * observed) AS d
- FROM sized JOIN mult USING (image_id) GROUP BY ALL""",
-        vals="""SELECT rep, size_group, estimand, 0.125e0 - SUM(CASE WHEN time <= 0.125 + 1e-12 THEN (s0 - s) * (0.125e0 - time) ELSE 0 END) AS value FROM kmp GROUP BY ALL""",
-    ),
-)
-def bootstrap_km(spark, sf):
-    """Bootstrap interval of the restricted mean per size and estimand.
-
-    Replicates meet per-cluster sums by (image, time), never raw rows; life tables run per replicate.
-    """
-    by = ["size_group", "estimand"]
-    rows = one_cause(long_events(spark, sf).withColumnRenamed("size_bin", "size_group"))
-    per_cluster = sv.time_counts(rows, ["image_id", *by], ["identity_change"])
-    drawn = mult(spark, sf, KM_REPS).join(per_cluster, "image_id")
-    counts = drawn.groupBy("rep", *by, "time").agg(
-        F.sum(F.col("copies") * F.col("leaving")).alias("leaving"), F.sum(F.col("copies") * F.col("d_identity_change")).alias("d_identity_change")
-    )
-    by = ["rep", *by]
-    table_ = sv.life_table(sv.with_margin(counts, "size_group"), by, ["identity_change"])
-    values = sv.restricted_mean(table_, by, [0.125]).withColumnRenamed("restricted_mean", "value")
-    return _round_all(rs.interval(values, ["size_group", "estimand"]))
-
-
-SP_REPS = 12
-
-
-@query(
-    "bootstrap_spearman",
-    with_tables(
-        interval_sql("vals", "size_bin"),
-        **mult_sql(SP_REPS),
-        rows_="SELECT m.rep, size_bin, margin, o2o_radius, sampling_weight * copies AS w FROM fx_rays JOIN mult m USING (image_id) WHERE o2o_event_observed = 1",
-        ranked="""SELECT *, SUM(w) OVER (PARTITION BY rep, size_bin ORDER BY margin RANGE UNBOUNDED PRECEDING) - 0.5e0 * SUM(w) OVER (PARTITION BY rep, size_bin, margin) AS rx,
- SUM(w) OVER (PARTITION BY rep, size_bin ORDER BY o2o_radius RANGE UNBOUNDED PRECEDING) - 0.5e0 * SUM(w) OVER (PARTITION BY rep, size_bin, o2o_radius) AS ry FROM rows_""",
-        sums_="SELECT rep, size_bin, SUM(w) AS t, SUM(w * rx) AS x, SUM(w * ry) AS y, SUM(w * rx * rx) AS xx, SUM(w * ry * ry) AS yy, SUM(w * rx * ry) AS xy FROM ranked GROUP BY ALL",
-        vals="SELECT rep, size_bin, (xy / t - x / t * y / t) / SQRT((xx / t - x / t * x / t) * (yy / t - y / t * y / t)) AS value FROM sums_",
-    ),
-)
-def bootstrap_spearman(spark, sf):
-    """Bootstrap interval of the weighted rank correlation; weights times copies are re-ranked per replicate."""
-    r = rays(spark, sf).filter("o2o_event_observed = 1").groupBy("image_id", "size_bin", "margin", "o2o_radius").agg(F.sum(W).alias("_w0"))
-    drawn = mult(spark, sf, SP_REPS).join(r, "image_id").withColumn("_w1", F.col("_w0") * F.col("copies"))
-    blocks = {"margin": F.floor(F.col("margin") * 16), "o2o_radius": F.floor(F.col("o2o_radius") * 64)}
-    values = es.weighted_spearman(drawn, ["rep", "size_bin"], "margin", "o2o_radius", "_w1", blocks=blocks)
-    return _round_all(rs.interval(values.withColumnRenamed("correlation", "value"), ["size_bin"]))
-
-
 BUDGETS, REPEATS = (100, 300), 20
 
 
