@@ -96,12 +96,12 @@ def resampled_sums(stats: DataFrame, by: Sequence[str], values: Sequence[str], d
         if not left.num_rows or not right.num_rows:
             return
         weight = _rows(left.column("copies"), np.int16).astype(np.float64)
-        place = {c: k for k, c in enumerate(left.column(cluster).to_pylist())}
+        place = {c: k for k, c in enumerate(left.column("_c").to_pylist())}
         at = np.array([place[c] for c in right.column(cluster).to_pylist()])
         keys = right.select(by).to_pandas()
         code = keys.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(at), np.int64)
         _, first = np.unique(code, return_index=True)
-        salt = int(left.column("block")[0].as_py()) % 64
+        salt = int(left.column("_b")[0].as_py()) % 64
         names = right.select(by).take(pa.array(first)) if by else None
         for low in range(0, len(first), KEYS):
             n = min(KEYS, len(first) - low)
@@ -113,7 +113,9 @@ def resampled_sums(stats: DataFrame, by: Sequence[str], values: Sequence[str], d
                 out[v] = [row.tobytes() for row in share @ weight]
             yield from _table(out, schema).to_batches()
 
-    left, right = drawn.groupBy(stratum, "block"), placed.groupBy("_stratum", "_block")
+    # New names on this side too: both sides may come from one table, whose columns Spark would take for the same ones.
+    left = drawn.select(F.col(stratum).alias("_s"), F.col("block").alias("_b"), F.col(cluster).alias("_c"), "copies").groupBy("_s", "_b")
+    right = placed.groupBy("_stratum", "_block")
     parts = left.cogroup(right).applyInArrow(lambda a, b: pa.Table.from_batches(list(multiply(a, b)), schema=pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema.fields])), schema)
     return _added(_added(parts, [*by, "salt"], values), by, values)
 

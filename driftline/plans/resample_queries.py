@@ -294,18 +294,3 @@ def split_assign(spark, sf):
     per_image = gt(spark, sf).groupBy("image_id").agg(F.count("*").alias("n"))
     out = rs.split_assign(per_image, F.col("image_id"), (0.8, 0.1, 0.1), SEED)
     return out.groupBy("split").agg(F.sum("n").alias("n_objects"), F.count("*").alias("n_images"))
-
-
-@query("oof_logit")
-def oof_logit(spark, sf):
-    """Out-of-fold log-loss, Brier, ROC and PR of nested logistic models with image-grouped hash folds."""
-    from ..operators import models as md
-
-    obj = objects(spark, sf).select(*OBJECT, W, F.col("o2o_fragile").cast("double").alias("y"), F.ln(F.col("w") * F.col("h")).alias("log_area"), F.col("o2m_flip_rate").alias("flip_rate"))
-    framed = md.with_fold(obj, "image_id", 3, SEED)
-    scored = md.out_of_fold(framed, {"size_only": ["log_area"], "size_and_flip": ["log_area", "flip_rate"]}, "y", W, 3)
-    longer = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("size_only", "size_and_flip")])).alias("_m")
-    rows = scored.select("fold", "y", W, longer).select("fold", "y", W, "_m.*")
-    per_fold = md.score_metrics(rows, ["fold", "model"], "y", "score", W, block=8)
-    share = framed.groupBy("fold").agg(F.sum(W).alias("fold_weight"))
-    return _round_all(md.foldwise(per_fold, share, ["model"], ("roc_auc", "pr_auc", "log_loss", "brier")))

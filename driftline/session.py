@@ -37,6 +37,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/driftline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write to a shared folder and read again: a cut in the lineage that outlives executors, where plans on plans would grow too long."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHARED: list[DataFrame] = []
 
 
