@@ -176,6 +176,24 @@ def strictly_inside(x: Column, y: Column, b: Column, eps: float = 1e-9) -> Colum
     return F.least(x - b["x1"], y - b["y1"], b["x2"] - x, b["y2"] - y) > F.lit(eps)
 
 
+def anchor_grid(width: Column, height: Column, strides: Sequence[int], offset: float = 0.5) -> Column:
+    """Array of structs (anchor, ax, ay, stride) to be exploded: cell centres of each stride's grid, rows first, strides in order.
+
+    Coordinates are pixels; a grid has ceil(side / stride) cells a side.
+    """
+
+    def level(cells: Column, nx: Column, s: int, before: Column) -> Column:
+        return F.transform(cells, lambda i: F.struct((before + i).alias("anchor"), ((i % nx + offset) * s).alias("ax"), ((F.floor(i / nx) + offset) * s).alias("ay"), F.lit(s).alias("stride")))
+
+    levels, before = [], F.lit(0).cast("long")
+    for s in strides:
+        nx, ny = F.ceil(width / F.lit(float(s))), F.ceil(height / F.lit(float(s)))
+        cells = F.when(nx * ny > 0, F.sequence(F.lit(0).cast("long"), nx * ny - 1)).otherwise(F.array().cast("array<bigint>"))
+        levels.append(level(cells, nx, s, before))
+        before = before + nx * ny
+    return F.concat(*levels)
+
+
 def anchor_to_box(x: Column, y: Column, l: Column, t: Column, r: Column, b: Column) -> Column:
     """Left/top/right/bottom distances from an anchor to a box."""
     return box(x - l, y - t, x + r, y + b)

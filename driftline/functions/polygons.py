@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 Point = tuple[float, float]
 
@@ -81,39 +79,45 @@ def box_foreground(b: Column, window: Column, eps: float = 1e-6) -> Column:
     return intersection(b, window) / F.greatest(area(b), F.lit(eps))
 
 
-def _clip_to_box(points: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Convex polygon cut by the four half-planes of a window."""
-    for axis, bound, sign in ((0, window[0], 1), (0, window[2], -1), (1, window[1], 1), (1, window[3], -1)):
-        if not len(points):
-            return points
-        depth = sign * (points[:, axis] - bound)
-        following, next_depth = np.roll(points, -1, axis=0), np.roll(depth, -1)
-        kept = []
-        for p, q, d, e in zip(points, following, depth, next_depth):
-            if d >= 0:
-                kept.append(p)
-            if (d < 0) != (e < 0):
-                kept.append(p + (q - p) * (d / (d - e)))
-        points = np.array(kept).reshape(-1, 2)
-    return points
-
-
-def _shoelace(points: np.ndarray) -> float:
-    if len(points) < 3:
-        return 0.0
-    x, y = points[:, 0], points[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
-
-
-@F.pandas_udf(DoubleType())
-def quad_foreground(corners: pd.Series, window: pd.Series) -> pd.Series:
-    """Share of a quadrilateral (8 numbers) that lies inside a window (4 numbers)."""
-    out = []
-    for flat, win in zip(corners, window):
-        points = np.asarray(flat, dtype=float).reshape(-1, 2)
-        whole = _shoelace(points)
-        out.append(_shoelace(_clip_to_box(points, np.asarray(win, dtype=float))) / max(whole, 1e-6))
-    return pd.Series(out)
+def _clamped_mean(u: Column, v: Column, low: Column, high: Column) -> Column:
+    """Mean of ``least(greatest(t, low), high)`` for t running evenly from u to v."""
+
+    def area_to(t: Column) -> Column:
+        return F.when(t <= low, low * (t - low)).when(t <= high, (t * t - low * low) / 2).otherwise((high * high - low * low) / 2 + high * (t - high))
+
+    flat = F.abs(v - u) < F.lit(1e-9)
+    middle = F.least(F.greatest((u + v) / 2, low), high)
+    return F.when(flat, middle).otherwise((area_to(v) - area_to(u)) / F.when(flat, 1.0).otherwise(v - u))
+
+
+def area_in_window(corners: Column, n: int, window: Column | Mapping[str, Column]) -> Column:
+    """Area of a simple polygon inside a window: an array of 2n numbers (x, y by turns) and a box.
+
+    Under each edge lies the integral of its height cut to the window, over its run cut to the window; edges that go back take
+    it off again. Each step names its results, so that no part is worked out twice.
+    """
+    point = lambda i: (corners[2 * (i % n)], corners[2 * (i % n) + 1])
+    low, high = window["y1"], window["y2"]
+    edges = F.array(*[F.struct(point(i)[0].alias("ax"), point(i)[1].alias("ay"), point(i + 1)[0].alias("bx"), point(i + 1)[1].alias("by")) for i in range(n)])
+    cut = lambda x: F.least(F.greatest(x, window["x1"]), window["x2"])
+    steep = lambda e: F.when(e["bx"] == e["ax"], 0.0).otherwise((e["by"] - e["ay"]) / F.when(e["bx"] == e["ax"], 1.0).otherwise(e["bx"] - e["ax"]))
+    runs = F.transform(edges, lambda e: F.struct(cut(e["ax"]).alias("u"), cut(e["bx"]).alias("v"), steep(e).alias("s"), e["ax"].alias("ax"), e["ay"].alias("ay")))
+    ends = F.transform(runs, lambda e: F.struct((e["v"] - e["u"]).alias("run"), (e["ay"] + e["s"] * (e["u"] - e["ax"])).alias("p"), (e["ay"] + e["s"] * (e["v"] - e["ax"])).alias("q")))
+    terms = F.transform(ends, lambda e: e["run"] * _clamped_mean(e["p"], e["q"], low, high))
+    return F.abs(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
+
+
+def polygon_area(corners: Column, n: int) -> Column:
+    point = lambda i: (corners[2 * (i % n)], corners[2 * (i % n) + 1])
+    cross = [point(i)[0] * point(i + 1)[1] - point(i + 1)[0] * point(i)[1] for i in range(n)]
+    return F.abs(sum(cross[1:], cross[0])) / 2
+
+
+def quad_foreground(corners: Column | str, window: Column | str, eps: float = 1e-6) -> Column:
+    """Share of a quadrilateral (array of 8 numbers) that lies inside a window (array of 4 numbers)."""
+    corners, window = (F.col(c) if isinstance(c, str) else c for c in (corners, window))
+    window = {k: window[i] for i, k in enumerate(("x1", "y1", "x2", "y2"))}
+    return area_in_window(corners, 4, window) / F.greatest(polygon_area(corners, 4), F.lit(eps))
 
 
 # ---- the same predicates on arrays, for stateful steps ---------------------------------------------------------------

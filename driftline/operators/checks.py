@@ -130,7 +130,12 @@ def roster_report(raw: DataFrame, roster: DataFrame, image: str, stratum: str) -
 
 def plan_report(plan: DataFrame, required_ids: Sequence[str], alpha: float, max_secondary: int = 2) -> DataFrame:
     """Hypothesis-plan constraints. A plan has one row per hypothesis (id, family, direction, alpha): a handful of rows."""
-    return plan.agg(
+    return plan_reports(plan, required_ids, alpha, max_secondary)
+
+
+def plan_reports(plans: DataFrame, required_ids: Sequence[str], alpha: float, max_secondary: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`plan_report` for every plan of a table."""
+    return plans.groupBy(*by).agg(
         (F.count("id") == F.count_distinct("id")).alias("ids_unique"),
         F.array_except(F.array(*[F.lit(i) for i in required_ids]), F.collect_set("id")).alias("missing_ids"),
         F.bool_and(F.col("direction").isin("greater", "less")).alias("directions_valid"),

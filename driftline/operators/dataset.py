@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import compact_category
 from ..functions.boxes import area, intersection
+from ..functions.polygons import quad_foreground
 
 
 def label_faults(cls: Column, cx: Column, cy: Column, w: Column, h: Column, n_classes: int) -> Column:
@@ -159,6 +160,22 @@ def window_objects(objects: DataFrame, wins: DataFrame, crop: int, threshold: fl
     )
 
 
+def window_quads(objects: DataFrame, wins: DataFrame, crop: int, threshold: float = 0.7) -> DataFrame:
+    """Quadrilaterals (``corners``, 8 numbers) of each window with at least ``threshold`` of their area inside, re-based to it.
+
+    A range join of the corners' bounding box with the window by crop-sized cells, whatever the object's size or turn.
+    """
+    from .detection import near_pairs
+
+    win = F.struct(*[F.col(a).cast("double").alias(b) for a, b in (("x_start", "x1"), ("y_start", "y1"), ("x_stop", "x2"), ("y_stop", "y2"))])
+    xs, ys = (F.array(*[F.col("corners")[2 * i + d] for i in range(4)]) for d in (0, 1))
+    around = F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+    near = near_pairs(objects.withColumn("_box", around), wins.drop("rate").withColumn("win", win), ["image_id"], "_box", "win", float(crop))
+    out = near.withColumn("share", quad_foreground("corners", F.array(*[F.col("win")[c] for c in ("x1", "y1", "x2", "y2")]))).filter(F.col("share") >= threshold)
+    moved = F.transform("corners", lambda v, i: v - F.when(i % 2 == 0, F.col("x_start")).otherwise(F.col("y_start")))
+    return out.select("image_id", "gt_id", "x_start", "y_start", "share", moved.alias("corners"))
+
+
 def dataset_digest(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
     """Dataset identity: total size and a hash over the ordered paths, built from per-folder hashes.
 

@@ -182,6 +182,19 @@ def keypoint_pairs(dets: DataFrame, truth: DataFrame, least: float, similarity:
     return near.select("image_id", "det", "conf", "cls", "gt_id", "gt_cls", "sim")
 
 
+def rotated_pairs(dets: DataFrame, truth: DataFrame, least: float) -> DataFrame:
+    """Detection-truth pairs of rotated boxes with probabilistic IoU of at least ``least``.
+
+    Such boxes have centres within a distance bounded by their longer sides, so only those whose squares of that reach meet are
+    compared: an exact range join by grid cell. Both tables carry ``rot``, a struct (cx, cy, w, h, r).
+    """
+    t = truth.select("image_id", "gt_id", "cls", F.col("rot").alias("gt_rot"), rotated_reach(F.col("rot"), least).alias("_tr"))
+    d = dets.select("image_id", "det", "conf", "cls", "rot", rotated_reach(F.col("rot"), least).alias("_dr"))
+    near = near_pairs(d, t, ["image_id", "cls"], "_dr", "_tr").withColumn("gt_cls", F.col("cls"))
+    near = near.withColumn("sim", probiou(F.col("gt_rot"), F.col("rot"))).filter(F.col("sim") >= least)
+    return near.select("image_id", "det", "conf", "cls", "gt_id", "gt_cls", "sim")
+
+
 def match(pairs: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> DataFrame:
     """True positives: (image_id, gt_id, threshold, det). Best truth per detection, then the first detection per truth.
 

@@ -118,6 +118,12 @@ def standardised(cells: DataFrame, by: Sequence[str], stratum: str, size: str =
     )
 
 
+def contract_difference(df: DataFrame, by: Sequence[str], contract: str, first: str, second: str, values: Sequence[str]) -> DataFrame:
+    """Each value under one contract less that under another, in the same group; null where a group lacks a contract."""
+    at = lambda name, v: F.max(F.when(F.col(contract) == name, F.col(v)))
+    return df.groupBy(*by).agg(*[(at(first, v) - at(second, v)).alias(v) for v in values])
+
+
 def standard_cells(df: DataFrame, by: Sequence[str], stratum: str, value: Column, size: str = "size_bin", weight: str = "sampling_weight") -> DataFrame:
     w = F.col(weight)
     return df.groupBy(*by, stratum, size).agg(

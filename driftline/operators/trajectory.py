@@ -244,6 +244,46 @@ def log_gap_terms(p_a: Column, p_b: Column, c_a: Column, c_b: Column, alpha: flo
     )
 
 
+def gap_changes(flips: DataFrame, base: DataFrame, shifted: DataFrame, direction: str) -> DataFrame:
+    """Log alignment gap of the identities before (a) and after (b) a shift, at both states, split into the fixed class offset and
+    the geometry gap; ``residual_change`` is what the split leaves of the change. Null where an overlap is not positive at a state.
+
+    ``flips``: (image_id, gt_id, direction, base_active, shift_active); ``base`` and ``shifted`` hold the pairs of both states.
+    """
+    obj = ["image_id", "gt_id"]
+    both = F.array(F.struct(F.lit("a").alias("who"), F.col("base_active").alias("candidate")), F.struct(F.lit("b").alias("who"), F.col("shift_active").alias("candidate")))
+    long = flips.select(*obj, direction, F.explode(both).alias("_w")).select(*obj, direction, "_w.*")
+    long = long.join(base.select(*obj, "candidate", F.col("p").alias("p0"), F.col("c").alias("c0"), F.col("q").alias("q0")), [*obj, "candidate"], "left")
+    long = long.join(shifted.select(*obj, direction, "candidate", F.col("c").alias("c1"), F.col("q").alias("q1")), [*obj, direction, "candidate"], "left")
+    pick = lambda who, c: F.max(F.when(F.col("who") == who, F.col(c))).alias(f"{c}_{who}")
+    wide = long.groupBy(*obj, direction).agg(*[pick(w, c) for w in "ab" for c in ("c0", "c1", "q0", "q1")])
+    ok = F.lit(True)
+    for c in ("c0_a", "c0_b", "c1_a", "c1_b"):
+        ok = ok & (F.coalesce(F.col(c), F.lit(0.0)) > 0)
+    geometry = F.lit(6.0) * (F.ln(F.col("c1_a") / F.col("c1_b")) - F.ln(F.col("c0_a") / F.col("c0_b")))
+    change = F.ln(F.col("q1_a") / F.col("q1_b")) - F.ln(F.col("q0_a") / F.col("q0_b"))
+    return wide.select(
+        *obj, direction, (~ok).alias("clipped"), F.when(ok, geometry).alias("delta_geometry"), F.when(ok, change).alias("delta_log_gap"), F.when(ok, change - geometry).alias("residual_change")
+    )
+
+
+def fixed_sets(base: DataFrame, shifted: DataFrame, moved: DataFrame, k: int, direction: str = "direction") -> DataFrame:
+    """The ``k`` best positive candidates of each object at base and after each shift, compared: sizes, intersection, Jaccard."""
+    obj = ["image_id", "gt_id"]
+
+    def best(pairs, keys, name):
+        w = Window.partitionBy(*keys).orderBy(F.desc("q"), "candidate")
+        top = pairs.filter("q > 0").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        return top.groupBy(*keys).agg(F.collect_set("candidate").alias(name))
+
+    out = moved.select(*obj, direction).join(best(base, obj, "_a"), obj, "left").join(best(shifted, [*obj, direction], "_b"), [*obj, direction], "left")
+    none = F.array().cast("array<bigint>")
+    out = out.withColumns({"_a": F.coalesce("_a", none), "_b": F.coalesce("_b", none)})
+    both = F.size(F.array_intersect("_a", "_b"))
+    union = F.size("_a") + F.size("_b") - both
+    return out.select(*obj, direction, F.size("_a").alias("base_size"), F.size("_b").alias("shift_size"), both.alias("intersection"), F.when(union > 0, both / union).alias("jaccard"))
+
+
 def case_rows(df: DataFrame, margin: str, fragile: str, runner: str, keys: Sequence[str], direction: str) -> DataFrame:
     """Largest-margin stable object, smallest-margin fragile object and first runner-less object, each in its first direction.
 

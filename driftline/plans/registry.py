@@ -13,7 +13,7 @@ from ..session import release
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_MODULES = ("survival_queries", "estimate_queries", "resample_queries", "curve_queries", "model_queries", "geometry_queries", "trajectory_queries", "scan_queries", "audit_queries", "detection_queries", "track_queries", "rule_queries", "source_queries")
+_MODULES = ("survival_queries", "estimate_queries", "resample_queries", "curve_queries", "model_queries", "geometry_queries", "trajectory_queries", "scan_queries", "audit_queries", "detection_queries", "track_queries", "shape_queries", "check_queries", "rule_queries", "source_queries")
 
 
 def query(name: str, sql: str | None = None):
