@@ -15,7 +15,7 @@ from ..session import shared
 from .estimate_queries import _round_all
 from .fixtures import candidates, gt_boxes, table
 from .geometry_queries import SIGMAS, keypoints, oks_sql, probiou_sql, visible
-from .oracle import inter_sql, iou_sql, rnd, with_tables
+from .oracle import held, inter_sql, iou_sql, rnd, with_tables
 from .registry import query
 from .resample_queries import SEED, draw_sql
 
@@ -46,7 +46,7 @@ def nms_fast(spark, sf):
 
 @query(
     "nms_greedy",
-    with_tables(
+    held(with_tables(
         f"""SELECT image_id, cls, det, {rnd('conf', 9, 'conf')} FROM kept""",
         det=DET,
         ranked="SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, det) AS r FROM det",
@@ -54,7 +54,7 @@ def nms_fast(spark, sf):
         seq="SELECT image_id, cls, LIST({'r': r, 'above': COALESCE(above, CAST([] AS BIGINT[]))} ORDER BY r) AS s FROM ranked LEFT JOIN edges USING (image_id, cls, r) GROUP BY ALL",
         fold="SELECT image_id, cls, UNNEST(LIST_REDUCE(s, lambda acc, x: CASE WHEN LIST_HAS_ANY(acc, x.above) THEN acc ELSE LIST_APPEND(acc, x.r) END, CAST([] AS BIGINT[]))) AS r FROM seq",
         kept="SELECT k.* FROM ranked k JOIN fold USING (image_id, cls, r)",
-    ),
+    )),
 )
 def nms_greedy(spark, sf):
     """Greedy suppression at 0.6 per image and class."""

@@ -12,7 +12,7 @@ from ..operators import estimators as es
 from ..session import shared
 from .estimate_queries import W, _round_all, wm
 from .fixtures import candidates, gt_boxes, roster
-from .oracle import centre_sql, ciou_sql, iou_sql, padded_iou_sql, rnd, with_tables
+from .oracle import centre_sql, ciou_sql, held, iou_sql, padded_iou_sql, rnd, with_tables
 from .registry import query
 
 IMAGE_SIDE = 2048
@@ -216,10 +216,10 @@ def topk_claims(spark, sf):
 
 @query(
     "resolve_conflicts",
-    with_tables(
+    held(with_tables(
         f"""SELECT image_id, candidate, gt_id, n_claims, {rnd('q', 9, 'alignment')}, k.best IS NOT NULL AS kept FROM owned7 LEFT JOIN (SELECT DISTINCT image_id AS i, gt_id AS g, candidate AS best FROM kept7) k ON i = image_id AND g = gt_id AND best = candidate""",
         **STATE,
-    ),
+    )),
 )
 def resolve_conflicts(spark, sf):
     """Owner of every claimed candidate after conflicts, and whether it survives the per-object top-1."""

@@ -104,6 +104,11 @@ def with_tables(body: str, **more: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({known[n].strip()})" for n in done) + "\n" + body.strip()
 
 
+def held(sql: str) -> str:
+    """``sql`` with every derived table worked out once, so that no join order is chosen across them."""
+    return re.sub(r"(^WITH |,\n)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", sql)
+
+
 def rnd(expr: str, digits: int = 9, name: str | None = None) -> str:
     text = f"ROUND(CAST({expr} AS DOUBLE), {digits}) + 0e0"
     return f"{text} AS {name}" if name else text
