@@ -163,10 +163,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, ids_per
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, False)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 12 << 20):
                 ids, starts = enc.encode(part.column("text"))
-                own = [np.append(ids[a:b], end_id).astype("<u2").tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "ids"])
+                ends = np.cumsum(np.diff(starts) + 1)  # with the end id of each document
+                flat = np.empty(int(ends[-1]), "<u2")
+                last = np.zeros(len(flat), bool)
+                last[ends - 1] = True
+                flat[last], flat[~last] = end_id, ids
+                offsets = np.concatenate([[0], ends * 2]).astype(np.int32)
+                own = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), own], names=["doc_id", "ids"])
 
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -175,10 +181,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, ids_per
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=SYMBOLS) if len(x.as_buffer()) > 4096 else 0
-            small = [x.as_buffer() for x in batch.column("ids") if len(x.as_buffer()) <= 4096]
-            total += np.bincount(np.frombuffer(b"".join(small), "<u2"), minlength=SYMBOLS)
+            for part in slices(batch, "ids", 1 << 24):
+                column = part.column("ids")
+                edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                raw = np.frombuffer(column.buffers()[2], "<u2") if column.buffers()[2] else np.empty(0, "<u2")
+                total += np.bincount(raw[edges[0] // 2 : edges[-1] // 2], minlength=SYMBOLS)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], names=["id", "n"])
 
