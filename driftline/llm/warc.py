@@ -30,17 +30,42 @@ END = "\r\n\r\n"
 SALTS = 16
 
 
-def records(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)."""
+def _may_repeat(groups: DataFrame, bits: int):
+    """A test on a hash of (digest, bytes): false for payloads that ``groups`` (mark) lacks, from a bitmap of 2^``bits`` bits."""
+    size = F.lit((1 << bits) - 1).cast("long")
+    at = F.col("mark").bitwiseAND(size)
+    cells = groups.select(F.shiftright(at, 6).alias("cell"), F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("x")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("x").to_numpy().view(np.uint64)
+    held = groups.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(mark: pd.Series) -> pd.Series:
+        h = mark.to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+        return pd.Series((held.value[(h >> np.uint64(6)).view(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1)
+
+    return test
+
+
+def records(pages: DataFrame, least: int = 1000, bits: int = 24) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to).
+
+    Most payloads occur once. A bitmap of fixed size tells which may not; all others pass straight through, so only payloads
+    that repeat (and a few that share a bit with one) are moved to find their groups.
+    """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    summed = given.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.col("payload").cast("binary"))})
     key = ["payload_digest", "payload_bytes"]
+    summed = given.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.col("payload").cast("binary"))}).withColumn("mark", F.xxhash64(*key))
     # a row for each payload that occurs more than once; copied over the salts, since one payload may have a third of the pages
-    groups = summed.filter(F.col("payload_bytes") >= least).groupBy(*key).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-    groups = groups.select(*key, "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = summed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(groups, [*key, "salt"], "left")
+    groups = stored(summed.filter(F.col("payload_bytes") >= least).groupBy(*key, "mark").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1"))
+    salted = groups.select(*key, "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    tested = summed.withColumn("again", _may_repeat(groups, bits)("mark"))
+    many = tested.filter("again").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
+    names = ["page_id", "url", "payload", *key[::-1]]
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return joined.select("page_id", "url", "payload", *key[::-1], F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    many = many.select(*names, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    once = tested.filter("not again").select(*names, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return once.unionByName(many)
 
 
 def write(pages: DataFrame, folder: str, least: int = 1000) -> None:
@@ -52,6 +77,8 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> None:
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     header = F.concat(
         F.lit(MAGIC), named("WARC-Type", F.col("record_type")), named("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number("page_id"), F.lit(">"))), named("WARC-Target-URI", clean),
+        named("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")), named("Content-Type", F.lit("text/html; charset=utf-8")),
+        F.when(F.col("record_type") == "revisit", named("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))).otherwise(""),
         named("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), named("X-Payload-Length", number("payload_bytes")),
         F.when(F.col("record_type") == "revisit", named("WARC-Refers-To", F.concat(F.lit("<urn:page:"), number("refers_to"), F.lit(">")))).otherwise(""),
         named("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"),
@@ -122,9 +149,9 @@ def reachable(light: DataFrame) -> DataFrame:
     several = not light.groupBy("file").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
     while several:
         far = jumps.select(F.col("file").alias("f"), F.col("offset").alias("o"), F.col("jump").alias("far"))
-        step = entries.join(jumps, ["file", "offset"]).select("file", F.col("jump").alias("offset"))
-        more = stored(step.join(jumps.select("file", "offset"), ["file", "offset"], "left_semi").union(entries).distinct())
-        squared = stored(jumps.join(far, (F.col("file") == F.col("f")) & (F.col("jump") == F.col("o")), "left").select("file", "offset", F.coalesce("far", "jump").alias("jump")))
+        step = entries.hint("merge").join(jumps, ["file", "offset"]).select("file", F.col("jump").alias("offset"))
+        more = stored(step.hint("merge").join(jumps.select("file", "offset"), ["file", "offset"], "left_semi").union(entries).distinct())
+        squared = stored(jumps.hint("merge").join(far, (F.col("file") == F.col("f")) & (F.col("jump") == F.col("o")), "left").select("file", "offset", F.coalesce("far", "jump").alias("jump")))
         if more.count() == entries.count():
             break
         entries, jumps = more, squared
@@ -138,7 +165,7 @@ def reachable(light: DataFrame) -> DataFrame:
                 on[to[k]] = True
         return pd.DataFrame({"file": rows.file[on], "offset": rows.offset[on]})
 
-    marked = found.select("file", "split", "offset", "next").join(entries.withColumn("entry", F.lit(True)), ["file", "offset"], "left").select("file", "split", "offset", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
+    marked = found.select("file", "split", "offset", "next").hint("merge").join(entries.withColumn("entry", F.lit(True)), ["file", "offset"], "left").select("file", "split", "offset", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
     return marked.groupBy("file", "split").applyInPandas(walk, "file string, offset long")
 
 
@@ -149,7 +176,7 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     digests of responses are those of the bytes read; a record whose digest header differs raises an error.
     """
     rows = candidates(spark, folder, payload)
-    kept = stored(reachable(rows).join(rows, ["file", "offset"]))
+    kept = stored(reachable(rows).hint("merge").join(rows, ["file", "offset"]))  # offsets grow with the pages: never broadcast
     cut = F.col("next") > F.col("offset") + F.col("size")
     text = [F.when(F.col("fields.record_type") == "response", _body(F.col("piece"), F.col("header"), F.col("length")).cast("string")).alias("payload")] if payload else []
     found = kept.filter(~cut).select("fields", *text)
