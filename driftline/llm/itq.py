@@ -1,7 +1,8 @@
 """Near-duplicate vectors by iterative quantisation: balanced binary codes, multi-index Hamming tables, exact reranking.
 
-Codes: unit vectors are centred and turned onto their principal axes, then a rotation is learned that brings them close to
-the corners of a cube (alternating signs and the orthogonal Procrustes solution). Where a length has fewer than 64 axes several
+Codes: unit vectors are turned onto their principal axes, then a rotation is learned that brings them close to the corners of a
+cube (alternating signs and the orthogonal Procrustes solution). Vectors are not centred first: the cosine is an angle at the
+origin, and around another centre near vectors of a narrow bundle would lie apart. Where a length has fewer than 64 axes several
 rotations are stacked, so a code has 64 bits always. The rotation is fitted on ``fit_rows`` vectors at most, those of the least
 hashes; lengths the sample has fewer than two of take a random rotation by a fixed rule. Every vector is coded and indexed.
 
@@ -38,16 +39,15 @@ from .simhash import components
 BITS, PART, SEED = 64, 16, 42
 #: Angles are compared with this margin; what lies inside it is decided by the cosine itself.
 SLACK = 1e-7
-Model = dict[int, tuple[np.ndarray, np.ndarray]]
+Model = dict[int, np.ndarray]
 
 
-def learn(unit: np.ndarray, d: int, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): signs of (x - mean) @ matrix are the 64 bits of unit vectors of length ``d``."""
+def learn(unit: np.ndarray, d: int, steps: int = 50) -> np.ndarray:
+    """A matrix: signs of x @ matrix are the 64 bits of unit vectors x of length ``d``."""
     rng = np.random.default_rng([SEED, d])
     known = len(unit) > 1
-    mean = unit.mean(axis=0) if known else np.zeros(d)
-    axes = np.linalg.svd(unit - mean, full_matrices=len(unit) < d)[2].T[:, :BITS] if known else np.linalg.qr(rng.standard_normal((d, min(d, BITS))))[0]
-    flat, wide = (unit - mean) @ axes, axes.shape[1]
+    axes = np.linalg.svd(unit, full_matrices=len(unit) < d)[2].T[:, :BITS] if known else np.linalg.qr(rng.standard_normal((d, min(d, BITS))))[0]
+    flat, wide = unit @ axes, axes.shape[1]
     found = []
     for _ in range(math.ceil(BITS / wide)):
         turn = np.linalg.qr(rng.standard_normal((wide, wide)))[0]
@@ -55,7 +55,7 @@ def learn(unit: np.ndarray, d: int, steps: int = 50) -> tuple[np.ndarray, np.nda
             left, _, right = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
             turn = (left @ right).T
         found.append(axes @ turn)
-    return mean, np.concatenate(found, axis=1)[:, :BITS]
+    return np.concatenate(found, axis=1)[:, :BITS]
 
 
 def unit_rows(raw: np.ndarray) -> np.ndarray:
@@ -74,8 +74,8 @@ def fit(vectors: DataFrame, fit_rows: int) -> Model:
 
 def code_of(unit: np.ndarray, model: Model) -> np.ndarray:
     d = unit.shape[1]
-    mean, matrix = model[d] if d in model else learn(np.empty((0, d)), d)
-    return np.packbits((unit - mean) @ matrix >= 0, axis=1).view(">i8").ravel().astype(np.int64)
+    matrix = model[d] if d in model else learn(np.empty((0, d)), d)
+    return np.packbits(unit @ matrix >= 0, axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def _lists(column: pa.ListArray) -> np.ndarray:
