@@ -115,6 +115,33 @@ def budget_draws(roster: DataFrame, stratum: str, cluster: str, budgets: Sequenc
     return kept.select("budget", "repeat", cluster, (F.col("n_total") / F.col("n_sample")).alias("factor"))
 
 
+def midranks_of(values: Sequence[Column]) -> list[Column]:
+    """Mid-ranks of a few columns of a row; values that differ by rounding only are ties."""
+    near = [F.round(v, 12) for v in values]
+    return [sum((F.when(o < n, 1.0).when(o == n, 0.5).otherwise(0.0) for o in near), F.lit(0.5)) for n in near]
+
+
+def budget_summary(part: DataFrame, by: Sequence[str], rates: Sequence[str], full: str) -> DataFrame:
+    """How subsamples recover the full sample: error and sign of the first branch's gap, whether the first branch's gap exceeds the
+    second's, and the median rank correlation of the four rates. ``rates``: tiny and small of two branches; ``full`` a struct of them.
+    """
+    a, b, c, d = (F.col(r) for r in rates)
+    gap, whole = a - b, F.col(full)[rates[0]] - F.col(full)[rates[1]]
+    ranks, truth = midranks_of([a, b, c, d]), midranks_of([F.col(full)[r] for r in rates])
+    middle = (len(rates) + 1) / 2
+    dot = lambda x, y: sum(((i - middle) * (j - middle) for i, j in zip(x, y)), F.lit(0.0))
+    spread = F.sqrt(dot(ranks, ranks) * dot(truth, truth))
+    rows = part.select(*by, gap.alias("_gap"), whole.alias("_whole"), (a - b > c - d).alias("_order"), (dot(ranks, truth) / F.nullif(spread, F.lit(0.0))).alias("_rho")).filter("_gap IS NOT NULL")
+    out = rows.groupBy(*by).agg(
+        F.count("_gap").alias("n_valid"),
+        F.percentile(F.abs(F.col("_gap") - F.col("_whole")), F.array(F.lit(0.5), F.lit(0.95))).alias("_e"),
+        F.avg((F.signum("_gap") == F.signum("_whole")).cast("double")).alias("sign_consistency"),
+        F.avg(F.coalesce(F.col("_order"), F.lit(False)).cast("double")).alias("order_consistency"),
+        F.percentile("_rho", 0.5).alias("median_rank_correlation"),
+    )
+    return out.select(*by, "n_valid", F.col("_e")[0].alias("median_error"), F.col("_e")[1].alias("p95_error"), "sign_consistency", "order_consistency", "median_rank_correlation")
+
+
 def precision(values: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFrame:
     """Bootstrap mean, sd, normal and percentile half width, and how often the sign of the point is recovered."""
     point = values.filter("rep = 0").select(*by, F.col("value").alias("point"))

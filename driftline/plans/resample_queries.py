@@ -126,21 +126,31 @@ def bootstrap_ratio(spark, sf):
 BUDGETS, REPEATS = (100, 300), 20
 
 
-def _gap(df: DataFrame, by, weight) -> DataFrame:
-    g = lambda s: es.weighted_mean(F.col("o2o_fragile"), F.col(weight), F.col("size_bin") == s)
-    return df.groupBy(*by).agg((g(es.TINY) - g(es.SMALL)).alias("gap"))
+_GAP = "SUM(CASE WHEN size_bin = 't_8_16' THEN {w} * o2o_fragile END) / SUM(CASE WHEN size_bin = 't_8_16' THEN {w} END) - SUM(CASE WHEN size_bin = 's_16_32' THEN {w} * o2o_fragile END) / SUM(CASE WHEN size_bin = 's_16_32' THEN {w} END)"
+_FOUR = [(arm, size, bin_) for arm in ("o2o", "o2m") for size, bin_ in (("t", "t_8_16"), ("s", "s_16_32"))]
+_RATES = ", ".join(f"SUM(CASE WHEN size_bin = '{b}' THEN {{w}} * {a}_fragile END) / SUM(CASE WHEN size_bin = '{b}' THEN {{w}} END) AS {a}_{k}" for a, k, b in _FOUR)
 
 
-_GAP = "SUM(CASE WHEN size_bin = 't_8_16' THEN {w} * o2o_fragile END) / SUM(CASE WHEN size_bin = 't_8_16' THEN {w} END) - SUM(CASE WHEN size_bin = 's_16_32' THEN {w} * o2o_fragile END) / SUM(CASE WHEN size_bin = 's_16_32' THEN {w} END)"
+def _rank_sql(of: str) -> list[str]:
+    """Mid-ranks of the four rates of a row; rates that differ by rounding only are ties."""
+    names = [f"ROUND({of}.{a}_{k}, 12)" for a, k, _ in _FOUR]
+    return ["(1 + " + " + ".join(f"CASE WHEN {o} < {n} THEN 1e0 WHEN {o} = {n} THEN 0.5e0 ELSE 0e0 END" for o in names) + " - 0.5e0)" for n in names]
+
+
+def _rho_sql() -> str:
+    a, b = _rank_sql("q"), _rank_sql("full_")
+    cov, va, vb = (" + ".join(f"({x} - 2.5e0) * ({y} - 2.5e0)" for x, y in zip(*p)) for p in ((a, b), (a, a), (b, b)))
+    return f"({cov}) / NULLIF(SQRT(({va}) * ({vb})), 0)"
 
 
 @query(
     "budget_efficiency",
     with_tables(
         f"""SELECT budget, COUNT(gap) AS n_valid, {rnd('QUANTILE_CONT(ABS(gap - f), 0.5)', 9, 'median_error')}, {rnd('QUANTILE_CONT(ABS(gap - f), 0.95)', 9, 'p95_error')},
- {rnd('AVG(CASE WHEN SIGN(gap) = SIGN(f) THEN 1e0 ELSE 0e0 END)', 9, 'sign_consistency')} FROM (
- SELECT budget, repeat, {_GAP.format(w='wt')} AS gap FROM (SELECT p.budget, p.repeat, o.size_bin, o.o2o_fragile, o.sampling_weight * p.factor AS wt FROM picks p JOIN objs o USING (image_id)) z GROUP BY ALL) q
- CROSS JOIN (SELECT {_GAP.format(w='sampling_weight')} AS f FROM objs) full_ WHERE gap IS NOT NULL GROUP BY budget""",
+ {rnd('AVG(CASE WHEN SIGN(gap) = SIGN(f) THEN 1e0 ELSE 0e0 END)', 9, 'sign_consistency')}, {rnd('AVG(CASE WHEN o2o_t - o2o_s > o2m_t - o2m_s THEN 1e0 ELSE 0e0 END)', 9, 'order_consistency')}, {rnd('QUANTILE_CONT(rho, 0.5)', 9, 'median_rank_correlation')} FROM (
+ SELECT q.*, full_.f, {_rho_sql()} AS rho FROM (
+ SELECT budget, repeat, {_GAP.format(w='wt')} AS gap, {_RATES.format(w='wt')} FROM (SELECT p.budget, p.repeat, o.size_bin, o.o2o_fragile, o.o2m_fragile, o.sampling_weight * p.factor AS wt FROM picks p JOIN objs o USING (image_id)) z GROUP BY ALL) q
+ CROSS JOIN (SELECT {_GAP.format(w='sampling_weight')} AS f, {_RATES.format(w='sampling_weight')} FROM objs) full_ WHERE gap IS NOT NULL) y GROUP BY budget""",
         **BASE,
         alloc=ALLOC.replace("POP", "(SELECT stratum, COUNT(*) AS n_total, budget FROM fx_roster CROSS JOIN (SELECT UNNEST([100, 300]) AS budget) b GROUP BY ALL) p"),
         picks=f"""SELECT budget, repeat, image_id, n_total::DOUBLE / n_sample AS factor FROM (SELECT a.*, r.image_id, x.repeat,
@@ -149,18 +159,15 @@ _GAP = "SUM(CASE WHEN size_bin = 't_8_16' THEN {w} * o2o_fragile END) / SUM(CASE
     ),
 )
 def budget_efficiency(spark, sf):
-    """Error and sign of the size gap under image budgets, against the full sample."""
+    """Error and sign of the size gap under image budgets, order of the branches and rank correlation of the four rates, against the full sample."""
     obj = objects(spark, sf)
-    full = _gap(obj, [], W).scalar()
     picks = rs.budget_draws(roster(spark, sf), "stratum", "image_id", BUDGETS, REPEATS, SEED)
     sub = picks.join(obj, "image_id").withColumn("_wt", F.col(W) * F.col("factor"))
-    gaps = _gap(sub, ["budget", "repeat"], "_wt").filter("gap IS NOT NULL").withColumn("_full", full)
-    out = gaps.groupBy("budget").agg(
-        F.count("gap").alias("n_valid"),
-        F.percentile(F.abs(F.col("gap") - F.col("_full")), F.array(F.lit(0.5), F.lit(0.95))).alias("_e"),
-        F.avg((F.signum("gap") == F.signum("_full")).cast("double")).alias("sign_consistency"),
-    )
-    return _round_all(out.select("budget", "n_valid", F.col("_e")[0].alias("median_error"), F.col("_e")[1].alias("p95_error"), "sign_consistency"))
+    rates = lambda w: [es.weighted_mean(F.col(f"{a}_fragile"), F.col(w), F.col("size_bin") == b).alias(f"{a}_{k}") for a, k, b in _FOUR]
+    names = [f"{a}_{k}" for a, k, _ in _FOUR]
+    whole = obj.agg(*rates(W)).select(F.struct(*names)).scalar()
+    part = sub.groupBy("budget", "repeat").agg(*rates("_wt")).withColumn("_full", whole)
+    return _round_all(rs.budget_summary(part, ["budget"], names, "_full"))
 
 
 HYPOTHESES = {"H1": "greater", "H2": "greater", "H3": "less", "H4": "greater", "H5": "less"}
