@@ -19,10 +19,34 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMORY = 800_000
 #: Longer chunks are not remembered.
 LONG = 64
-CUT = "\x01"
 _encoders: dict = {}
 
 
+def _pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Texts cut before a blank or line feed that follows something else, and before a full stop or comma between a letter and white
+    space or the text's end; all pieces, and their number in each text. The pieces share the texts' bytes.
+    """
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+    raw = raw[: ends[-1]]
+    white = (raw == 32) | (raw == 10)
+    low = raw | 32
+    letter, stop = (low >= 97) & (low <= 122), (raw == 46) | (raw == 44)
+    last = np.zeros(len(raw), bool)  # the last byte of a text
+    last[ends[1:][ends[1:] > ends[:-1]] - 1] = True
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = white[1:] & ~white[:-1]
+    after = last.copy()
+    after[:-1] |= white[1:]
+    cut[1:] |= stop[1:] & letter[:-1] & after[1:]
+    cut[ends[:-1][ends[:-1] < len(raw)]] = False  # a text's beginning is none of its cuts
+    at = np.flatnonzero(cut) if len(raw) else np.zeros(0, np.int64)
+    counts = np.searchsorted(at, ends[1:], side="left") - np.searchsorted(at, ends[:-1], side="left") + 1
+    offsets = np.insert(at, np.searchsorted(at, ends[:-1], side="left"), ends[:-1])
+    offsets = np.append(offsets, ends[-1])
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)), counts
+
+
 class Encoder:
     """``drops_space``: the tokenizer ignores white space and case of A-Z; otherwise a chunk keeps the space before it."""
 
@@ -62,12 +86,11 @@ class Encoder:
             cut = pc.replace_substring_regex(pc.ascii_lower(cut), r"([a-z])([.,])([ \n]|$)", r"\1 \2\3")
             cut = pc.replace_substring(cut, "\n", " ")
             lists = pc.split_pattern(cut, " ")
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
         else:
-            cut = pc.replace_substring_regex(cut, r"([A-Za-z])([.,])([ \n]|$)", "\\1" + CUT + "\\2\\3")
-            cut = pc.replace_substring_regex(cut, r"([^ \n\x01])([ \n])", "\\1" + CUT + "\\2")
-            lists = pc.split_pattern(cut, CUT)
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        words = lists.flatten().dictionary_encode()
+            words, counts = _pieces(cut)
+            words = words.dictionary_encode()
         chunks, index = words.dictionary.to_pylist(), words.indices.to_numpy()
         known = self.known
         found = [known.get(c) for c in chunks]

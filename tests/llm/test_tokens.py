@@ -114,3 +114,22 @@ def test_length_limit_binds():
         fib.append(fib[-1] + fib[-2])
     lengths = huffman.code_lengths(np.array(fib))
     assert lengths.max() == huffman.LIMIT and sum(2.0 ** -int(x) for x in lengths) == 1
+
+
+def test_pieces_are_those_of_the_pattern():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from driftline.llm.tokens import _pieces
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "Z", "é", ".", ",", " ", "\n", "  ", "1", "x.", "y, "]) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", "", "a.", ".", " "]
+    for array in (pa.array(texts, pa.large_string()), pa.array(texts, pa.large_string()).slice(5, 900), pa.array([], pa.large_string())):
+        words, counts = _pieces(array)
+        want = []
+        for t in array.to_pylist():
+            t = re.sub(r"([A-Za-z])([.,])(?=[ \n]|\Z)", "\\1\x01\\2", t)
+            want.append(re.sub(r"(?<=[^ \n\x01])([ \n])", "\x01\\1", t).split("\x01"))
+        assert words.to_pylist() == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
