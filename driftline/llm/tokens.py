@@ -40,7 +40,8 @@ def _pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray
     after[:-1] |= white[1:]
     cut[1:] |= stop[1:] & letter[:-1] & after[1:]
     cut[ends[:-1][ends[:-1] < len(raw)]] = False  # a text's beginning is none of its cuts
-    at = np.flatnonzero(cut) if len(raw) else np.zeros(0, np.int64)
+    cut[: ends[0]] = False
+    at = np.flatnonzero(cut)
     counts = np.searchsorted(at, ends[1:], side="left") - np.searchsorted(at, ends[:-1], side="left") + 1
     offsets = np.insert(at, np.searchsorted(at, ends[:-1], side="left"), ends[:-1])
     offsets = np.append(offsets, ends[-1])
