@@ -46,7 +46,18 @@ def _side(px: Column, py: Column, qx, qy, rx, ry) -> Column:
 
 
 def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, line: Sequence[Point]) -> Column:
-    """True where segment a-b touches the literal segment."""
+    """True where segment a-b touches the literal segment.
+
+    Against an upright or level segment the place where a-b meets its axis decides, as in SQL: signs of areas round otherwise where
+    a-b runs through an end.
+    """
+    (lx, ly), (mx, my) = [(float(x), float(y)) for x, y in line]
+    if (lx == mx) != (ly == my):
+        p, u, q, v = (ax, ay, bx, by) if lx == mx else (ay, ax, by, bx)
+        fixed, (low, high) = F.lit(lx if lx == mx else ly), (F.lit(e) for e in sorted((ly, my) if lx == mx else (lx, mx)))
+        at = u + (fixed - p) / F.nullif(q - p, F.lit(0.0)) * (v - u)
+        meets = (p != q) & (F.least(p, q) <= fixed) & (F.greatest(p, q) >= fixed) & (at >= low) & (at <= high)
+        return F.coalesce(meets, F.lit(False)) | ((p == fixed) & (q == fixed) & (F.least(u, v) <= high) & (F.greatest(u, v) >= low))
     (cx, cy), (dx, dy) = [(F.lit(float(x)), F.lit(float(y))) for x, y in line]
     o1, o2 = _side(ax, ay, bx, by, cx, cy), _side(ax, ay, bx, by, dx, dy)
     o3, o4 = _side(cx, cy, dx, dy, ax, ay), _side(cx, cy, dx, dy, bx, by)

@@ -3,9 +3,13 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from driftline.functions import boxes as bx
+from driftline.operators import tracks as tk
 from driftline.operators.replicates import first_words
+from driftline.plans import fixtures
 
 QUERIES = contract.queries()
 
@@ -33,3 +37,28 @@ def test_draws_are_md5():
     for more in (b"", b"x" * 50):  # one block of 64 bytes, and longer
         got = first_words([more + h for h in heads], tails)
         assert got.tolist() == [[int(hashlib.md5(more + h + k).hexdigest()[:8], 16) for h in heads] for k in tails]
+
+
+def test_step_through_an_end_of_the_line(spark):
+    """The step meets x = 20 at y = 90 exactly; signs of areas round it to a miss."""
+    points = spark.createDataFrame([(0, 1, 1, "a", 15.39, 96.0), (0, 1, 2, "a", 52.27, 48.0)], "video_id int, track_id int, frame int, cls string, cx double, cy double")
+    for line in ([(20.0, 10.0), (20.0, 90.0)], [(20.0, 90.0), (20.0, 10.0)]):
+        assert [r.direction for r in tk.line_crossings(points, line).collect()] == ["IN"]
+    level = points.select("video_id", "track_id", "frame", "cls", F.col("cy").alias("cx"), F.col("cx").alias("cy"))
+    assert tk.line_crossings(level, [(10.0, 20.0), (90.0, 20.0)]).count() == 1
+
+
+def test_anchors_are_those_of_the_array(spark, sf):
+    images = spark.createDataFrame([("a", 70, 33), ("b", 0, 10), ("c", 16, 16)], "image_id string, w int, h int")
+    size = F.col("w"), F.col("h"), (16, 32)
+    rows = bx.anchors(images, *size).select("image_id", "anchor", "ax", "ay", "stride")
+    want = images.select("image_id", F.explode(bx.anchor_grid(*size)).alias("a")).select("image_id", "a.*")
+    assert sorted(rows.collect()) == sorted(want.collect()) and rows.count() > 20
+    assert "lambda" not in plan_of(QUERIES["anchor_grid"](spark, sf))
+
+
+def test_tasks_of_curves_follow_the_rays(spark, sf, monkeypatch):
+    monkeypatch.setattr(fixtures, "RAYS_A_TASK", 50)
+    for name in ("boundary_events", "coarse_fine_search", "return_signature"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert f", {fixtures.table(spark, sf, 'orders').count() // 50})" in plan and "REPARTITION_BY_NUM" in plan
