@@ -10,6 +10,7 @@ from ..operators.ordered import positions
 
 GRID_STEP = 1024.0
 KEYS = ["image_id", "gt_id", "direction"]
+RAYS_A_TASK = 50_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -139,7 +140,9 @@ def second_rays(spark: SparkSession, sf: str) -> DataFrame:
 
 def curve(spark: SparkSession, sf: str) -> DataFrame:
     """Radius curve on a step of 8/1024; one ray in five returns to its base."""
-    r = rays(spark, sf).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(32))))
+    # A ray becomes up to 33 rows, and what follows groups by ray: the number of tasks follows that of the orders.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table(spark, sf, "orders").count() // RAYS_A_TASK)
+    r = rays(spark, sf).repartition(tasks, *KEYS).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(32))))
     idx = F.col("j") * 8
     changed = (idx >= F.col("k")) & ~((F.col("ok") % 5 == 0) & (idx >= F.col("k") + 64))
     return r.filter(idx <= F.col("lim")).select(
