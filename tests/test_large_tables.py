@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from driftline.functions import boxes as bx
+from driftline.operators import assign as asg
 from driftline.operators import tracks as tk
 from driftline.operators.replicates import first_words
 from driftline.plans import fixtures
@@ -62,3 +63,23 @@ def test_tasks_of_curves_follow_the_rays(spark, sf, monkeypatch):
     for name in ("boundary_events", "coarse_fine_search", "return_signature"):
         plan = plan_of(QUERIES[name](spark, sf))
         assert f", {fixtures.table(spark, sf, 'orders').count() // 50})" in plan and "REPARTITION_BY_NUM" in plan
+
+
+REPLAYS = ["replay_endpoint", "eligibility_lock", "gap_shift", "rank_correlation", "assignment_targets"]
+
+
+@pytest.mark.parametrize("name", REPLAYS)
+def test_pairs_stay_with_their_image(spark, sf, name):
+    """Only tables dealt by image are exchanged, no candidates by cell and no pairs of moved objects."""
+    exchanges = [line for line in plan_of(QUERIES[name](spark, sf)).split("\n") if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(image_id" in e and "REPARTITION_BY_NUM" in e for e in exchanges)
+    assert not any("_cx#" in e or ("direction#" in e and "candidate#" in e) for e in exchanges)
+
+
+@pytest.mark.parametrize("name", ["replay_endpoint", "rank_correlation", "assignment_targets"])
+def test_crowded_images_are_not_dealt_whole(spark, sf, monkeypatch, name):
+    """An image of too many candidates for one task goes by its cells, with the same rows."""
+    rows = sorted(map(str, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(asg, "CANDS_A_TASK", 20)
+    assert "REPARTITION_BY_NUM" not in plan_of(QUERIES[name](spark, sf))
+    assert sorted(map(str, QUERIES[name](spark, sf).collect())) == rows
