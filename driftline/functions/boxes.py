@@ -105,11 +105,26 @@ def _gaussian(w: Column, h: Column, r: Column):
     return a * c * c + b * s * s, a * s * s + b * c * c, (a - b) * c * s
 
 
+def gaussian(rot: Column) -> Column:
+    """A rotated box with the terms ``ga``, ``gb``, ``gc`` of its covariance, worked out once a box and not once a pair."""
+    terms = _gaussian(rot["w"], rot["h"], rot["r"])
+    return F.struct(*[rot[c].alias(c) for c in ("cx", "cy", "w", "h", "r")], *[t.alias(n) for t, n in zip(terms, ("ga", "gb", "gc"))])
+
+
 def probiou(a: Column, b: Column, eps: float = 1e-7, aspect: bool = False) -> Column:
     """Probabilistic IoU of rotated boxes, structs ``(cx, cy, w, h, r)``."""
+    return _probiou(a, b, _gaussian(a["w"], a["h"], a["r"]), _gaussian(b["w"], b["h"], b["r"]), eps, aspect)
+
+
+def gaussian_iou(a: Column, b: Column) -> Column:
+    """:func:`probiou` of boxes that carry their covariance (:func:`gaussian`)."""
+    return _probiou(a, b, (a["ga"], a["gb"], a["gc"]), (b["ga"], b["gb"], b["gc"]), 1e-7, False)
+
+
+def _probiou(a: Column, b: Column, of_a: tuple, of_b: tuple, eps: float, aspect: bool) -> Column:
     e = F.lit(eps)
-    a1, b1, c1 = _gaussian(a["w"], a["h"], a["r"])
-    a2, b2, c2 = _gaussian(b["w"], b["h"], b["r"])
+    a1, b1, c1 = of_a
+    a2, b2, c2 = of_b
     det = (a1 + a2) * (b1 + b2) - (c1 + c2) * (c1 + c2)
     dx, dy = a["cx"] - b["cx"], a["cy"] - b["cy"]
     t1 = ((a1 + a2) * dy * dy + (b1 + b2) * dx * dx) / (det + e) * F.lit(0.25)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou, points_box, probiou
+from ..functions.boxes import gaussian, gaussian_iou, iou, points_box
 from .assign import home_cell, with_cells
 from .ordered import running_sums
 
@@ -27,12 +27,12 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_reach: str, b_
     """Rows of ``a`` and ``b`` with equal keys whose reach boxes intersect, each pair once.
 
     Reaches are covered by grid cells and joined by cell; a pair counts in the cell that holds the lower corner of the
-    intersection.
+    intersection. Exploded rows pass for as few as their source, so the join is asked to merge, not to send one side to every task.
     """
     left, right = with_cells(a, F.col(a_reach), cell), with_cells(b, F.col(b_reach), cell)
     ra, rb = F.col(a_reach), F.col(b_reach)
     meets = (ra["x1"] <= rb["x2"]) & (rb["x1"] <= ra["x2"]) & (ra["y1"] <= rb["y2"]) & (rb["y1"] <= ra["y2"])
-    return left.join(right, [*keys, "_cx", "_cy"]).filter(meets & home_cell(ra, rb, cell)).drop("_cx", "_cy")
+    return left.hint("merge").join(right, [*keys, "_cx", "_cy"]).filter(meets & home_cell(ra, rb, cell)).drop("_cx", "_cy")
 
 
 def shape_predictions(preds: DataFrame, scores: str, conf: float = 0.25, *, multi_label: bool = False, classes: Sequence[int] | None = None, max_nms: int | None = None) -> DataFrame:
@@ -66,7 +66,8 @@ def _ahead(prefix: str = "o_") -> Column:
 def fast_nms(dets: DataFrame, threshold: float, *, similarity: Callable[[Column, Column], Column] = iou, shape: str = "box", reach: Column | None = None, cell: float = CELL) -> DataFrame:
     """Drop a box if any higher-scored box of its image and class is at least ``threshold`` similar.
 
-    A semi join by grid cell finds the dropped boxes: it stops at the first hit and never lists pairs.
+    A semi join by grid cell finds the dropped boxes: it stops at the first hit and never lists pairs. As in
+    :func:`near_pairs` the joins are asked to merge: exploded rows are never sent to every task.
     """
     base = dets.withColumn("_reach", F.col("box") if reach is None else reach)
     cells = with_cells(base, F.col("_reach"), cell)
@@ -77,8 +78,8 @@ def fast_nms(dets: DataFrame, threshold: float, *, similarity: Callable[[Column,
     hit = (
         same[0] & same[1] & same[2] & same[3] & _ahead() & (similarity(F.col("o_shape"), F.col(shape)) >= threshold)
     )
-    dropped = low.join(high, hit, "left_semi").select("image_id", "cls", "det").distinct()
-    return dets.join(dropped, ["image_id", "cls", "det"], "left_anti")
+    dropped = low.join(high.hint("merge"), hit, "left_semi").select("image_id", "cls", "det").distinct()
+    return dets.join(dropped.hint("merge"), ["image_id", "cls", "det"], "left_anti")
 
 
 def rotated_reach(rot: Column, threshold: float) -> Column:
@@ -97,7 +98,8 @@ def tile_merge(dets: DataFrame, tile: str, threshold: float = 0.3) -> DataFrame:
         (F.col("rot.cx") + F.col("_ox")).alias("cx"), (F.col("rot.cy") + F.col("_oy")).alias("cy"), F.col("rot.w").alias("w"), F.col("rot.h").alias("h"), F.col("rot.r").alias("r")
     )
     moved = moved.withColumn("rot", rot).drop("_ox", "_oy")
-    return fast_nms(moved, threshold, similarity=probiou, shape="rot", reach=rotated_reach(F.col("rot"), threshold))
+    ready = moved.withColumn("_g", gaussian(F.col("rot")))
+    return fast_nms(ready, threshold, similarity=gaussian_iou, shape="_g", reach=rotated_reach(F.col("rot"), threshold)).drop("_g")
 
 
 def _suppress(pdf, threshold: float, agnostic: bool):
@@ -188,10 +190,10 @@ def rotated_pairs(dets: DataFrame, truth: DataFrame, least: float) -> DataFrame:
     Such boxes have centres within a distance bounded by their longer sides, so only those whose squares of that reach meet are
     compared: an exact range join by grid cell. Both tables carry ``rot``, a struct (cx, cy, w, h, r).
     """
-    t = truth.select("image_id", "gt_id", "cls", F.col("rot").alias("gt_rot"), rotated_reach(F.col("rot"), least).alias("_tr"))
-    d = dets.select("image_id", "det", "conf", "cls", "rot", rotated_reach(F.col("rot"), least).alias("_dr"))
+    t = truth.select("image_id", "gt_id", "cls", gaussian(F.col("rot")).alias("_tg"), rotated_reach(F.col("rot"), least).alias("_tr"))
+    d = dets.select("image_id", "det", "conf", "cls", gaussian(F.col("rot")).alias("_dg"), rotated_reach(F.col("rot"), least).alias("_dr"))
     near = near_pairs(d, t, ["image_id", "cls"], "_dr", "_tr").withColumn("gt_cls", F.col("cls"))
-    near = near.withColumn("sim", probiou(F.col("gt_rot"), F.col("rot"))).filter(F.col("sim") >= least)
+    near = near.withColumn("sim", gaussian_iou(F.col("_tg"), F.col("_dg"))).filter(F.col("sim") >= least)
     return near.select("image_id", "det", "conf", "cls", "gt_id", "gt_cls", "sim")
 
 

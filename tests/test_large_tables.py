@@ -83,3 +83,12 @@ def test_crowded_images_are_not_dealt_whole(spark, sf, monkeypatch, name):
     monkeypatch.setattr(asg, "CANDS_A_TASK", 20)
     assert "REPARTITION_BY_NUM" not in plan_of(QUERIES[name](spark, sf))
     assert sorted(map(str, QUERIES[name](spark, sf).collect())) == rows
+
+
+@pytest.mark.parametrize("name", ["match_rotated", "tile_merge"])
+def test_covariances_are_made_once_a_box(spark, sf, name):
+    """Exploded boxes are not broadcast, and what follows from one box alone is not worked out for every pair."""
+    plan = plan_of(QUERIES[name](spark, sf)).split("\n")
+    assert not any("BroadcastHashJoin" in line and "_cx#" in line for line in plan)
+    joins = [line for line in plan if "Join [" in line and "_cx#" in line]
+    assert joins and not any("COS(" in line for line in joins)
