@@ -12,8 +12,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.boxes import gaussian, gaussian_iou, iou, points_box
 from .assign import home_cell, with_cells
@@ -354,31 +357,59 @@ def topk_accuracy(df: DataFrame, target: str, ranked: str, by: Sequence[str] = (
 # ---- vector search -----------------------------------------------------------------------------------------------
 
 
-def unit(vector: Column) -> Column:
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: x / norm)
+GROUP = 8192
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float, block_bytes: int = 4 << 20) -> DataFrame:
     """Top-k cosine matches of each query with at least ``least`` similarity.
 
-    Queries are packed in blocks of about ``block_bytes``. A block travels to every task as one array, so vectors are read
-    once per block and never shuffled; only k rows per query and task reach the final ranking.
+    Groups of vectors meet blocks of queries of about ``block_bytes``, each pair as one matrix product in a task; only the k best
+    rows a query and group reach the final ranking. The product only chooses: similarities are those of the sum in the order of
+    the dimensions, so that equal vectors tie whatever their group. Vectors that are null, zero or hold nulls match nothing.
     """
     size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
     blocks = max(1, -(-size.n * 8 * max(1, size.d or 1) // block_bytes))
-    if blocks > 1:
-        of = F.pmod(F.xxhash64(key), F.lit(blocks))
-        return reduce(DataFrame.unionByName, [_topk_block(vectors, queries.filter(of == b), key, vector, k, least) for b in range(blocks)])
-    return _topk_block(vectors, queries, key, vector, k, least)
-
-
-def _topk_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
-    packed = queries.agg(F.collect_list(F.struct(F.col(key).alias("query"), unit(F.col(vector)).alias("u"))).alias("q"))
-    base = vectors.select(key, unit(F.col(vector)).alias("_u")).withColumn("_q", packed.scalar())
-    each = base.select(key, "_u", F.explode("_q").alias("_q"))
-    dot = F.aggregate(F.zip_with("_u", "_q.u", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    scored = each.select(F.col("_q.query").alias("query"), key, dot.alias("similarity")).filter(F.col("similarity") >= least)
+    groups = max(1, -(-vectors.count() // GROUP))
+    ready = lambda df, name: df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("_u")).filter(F.col("_u").isNotNull() & ~F.exists("_u", lambda x: x.isNull()))
+    deal = lambda name, n: F.pmod(F.xxhash64(name, "_u"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = ready(vectors, key).select(key, "_u", F.size("_u").alias("_d"), deal(key, groups).alias("_g"), every(blocks).alias("_b"))
+    right = ready(queries, "query").select("query", "_u", F.size("_u").alias("_d"), deal("query", blocks).alias("_b"), every(groups).alias("_g"))
+    schema = T.StructType([T.StructField("query", queries.schema[key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        (rows, u), (asked, q) = _units(rows), _units(asked)
+        whose, found, values = [], [], []
+        for low in range(0, len(q) if len(u) else 0, 256):
+            near = q[low : low + 256] @ u.T
+            near[np.isnan(near)] = np.inf  # as in Spark, NaN is above all numbers
+            for at, row in enumerate(near, start=low):
+                bound = least if len(row) <= k else max(least, np.partition(row, len(row) - k)[len(row) - k])
+                some = np.flatnonzero(row >= bound - 1e-9)
+                exact = np.zeros(len(some))
+                for i in range(u.shape[1]):
+                    exact = exact + u[some, i] * q[at, i]
+                order = np.argsort(np.where(np.isnan(exact), -np.inf, -exact), kind="stable")[:k]
+                order = order[(exact[order] >= least) | np.isnan(exact[order])]
+                whose.append(np.full(len(order), at))
+                found.append(some[order])
+                values.append(exact[order])
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+        names = asked.column("query").take(pa.array(join(whose, np.int64))), rows.column(key).take(pa.array(join(found, np.int64)))
+        return pa.table({"query": names[0], key: names[1], "similarity": pa.array(join(values, np.float64))})
+
+    scored = left.groupBy("_g", "_b", "_d").cogroup(right.groupBy("_g", "_b", "_d")).applyInArrow(best, schema)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _units(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Rows of equal length whose vector has a length, and their unit vectors as a matrix."""
+    flat = pc.list_flatten(rows.column("_u")).to_numpy()
+    x = flat.reshape(len(rows), -1) if len(flat) else np.zeros((len(rows), 0))
+    square = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        square = square + x[:, i] * x[:, i]
+    some = np.flatnonzero(square != 0)
+    return rows.take(pa.array(some)), x[some] / np.sqrt(square[some])[:, None]

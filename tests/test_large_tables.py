@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from driftline.functions import boxes as bx
 from driftline.operators import assign as asg
+from driftline.operators import detection as dt
+from driftline.operators import resample as rs
 from driftline.operators import tracks as tk
 from driftline.operators.replicates import first_words
-from driftline.plans import fixtures
+from driftline.plans import fixtures, source_queries
 
 QUERIES = contract.queries()
 
@@ -92,3 +94,33 @@ def test_covariances_are_made_once_a_box(spark, sf, name):
     assert not any("BroadcastHashJoin" in line and "_cx#" in line for line in plan)
     joins = [line for line in plan if "Join [" in line and "_cx#" in line]
     assert joins and not any("COS(" in line for line in joins)
+
+
+def test_vectors_meet_queries_by_matrix(spark, sf, monkeypatch):
+    """No row per pair; equal vectors tie whatever their group, and a vector with a null element matches nothing."""
+    assert "zip_with" not in plan_of(QUERIES["vector_topk"](spark, sf))
+    rows = [(i, [float(i % 5), 1.0, 0.1 * (i % 5)]) for i in range(60)] + [(60, None), (61, [1.0, None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(dt, "GROUP", 7)
+    found = dt.vector_topk(df, df.filter("id IN (3, 60, 61)"), "id", "v", 4, 0.5).orderBy("rank").collect()
+    assert [(r["query"], r["id"], r["rank"]) for r in found] == [(3, i, n) for n, i in enumerate((3, 8, 13, 18), 1)]
+
+
+def test_budget_draws_are_limited_before_the_exchange(spark, sf):
+    assert plan_of(QUERIES["budget_efficiency"](spark, sf)).count("WindowGroupLimit") >= 2
+
+
+def test_budgets_beyond_the_limit_give_the_same_draws(spark, monkeypatch):
+    roster = spark.range(400).selectExpr("CAST(id % 3 AS STRING) AS s", "CAST(id AS STRING) AS c")
+    draws = lambda: sorted(map(tuple, rs.budget_draws(roster, "s", "c", (20, 50), 3, 7).collect()))
+    limited = draws()
+    monkeypatch.setattr(rs, "GROUP_LIMIT", 10)
+    assert limited == draws() and len(limited) == 3 * 70
+
+
+def test_files_are_written_by_a_task_each(spark, sf, monkeypatch):
+    tasks = []
+    monkeypatch.setattr(source_queries.fs, "scan_files", lambda s, folder, glob: tasks.extend({r.name.split("-")[1] for r in s.read.text(folder).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")).distinct().collect()}) or s.range(1).selectExpr("1L AS size", "'' AS sha256"))
+    monkeypatch.setattr(source_queries, "table", lambda s, *_: s.range(60_000).withColumnRenamed("id", "o_orderkey"))
+    QUERIES["file_scan"](spark, sf)
+    assert len(tasks) > 1
