@@ -119,7 +119,7 @@ def file_scan(spark, sf):
     """Six text files of all order keys: their number, total size and hash form."""
     folder = work_folder(spark)
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"), (F.col("o_orderkey") % 6).alias("f"))
-    o.repartition(1, "f").write.partitionBy("f").text(folder)
+    o.repartition("f").write.partitionBy("f").text(folder)  # one task a file, not one for all
     return fs.scan_files(spark, folder, "*.txt").agg(F.count("*").alias("n_files"), F.sum("size").alias("total"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
 
 
