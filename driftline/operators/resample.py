@@ -14,6 +14,10 @@ from .ordered import nth_smallest, positions
 HASH_BITS = 60
 
 
+#: Up to this many rows a group Spark applies a limit of ranks before it exchanges them.
+GROUP_LIMIT = 1000
+
+
 def hash_block(draw: Column, blocks: int = 64) -> Column:
     """Order-preserving block of a 60-bit draw; equal sizes by construction, so no percentile pass is needed."""
     return F.floor(draw / F.lit(float(2**HASH_BITS // blocks)))
@@ -101,7 +105,8 @@ def interval(values: DataFrame, by: Sequence[str], level: float = 0.95, value: s
 def budget_draws(roster: DataFrame, stratum: str, cluster: str, budgets: Sequence[int], repeats: int, seed: int) -> DataFrame:
     """Stratified subsamples of given image budgets, reweighted by n_h/m_h: (budget, repeat, cluster, factor).
 
-    The smallest draws of each (budget, repeat, stratum) are kept; ranking runs in hash blocks.
+    The smallest draws of each (budget, repeat, stratum) are kept. Spark limits each group to the largest budget before the
+    exchange, so what is ranked follows the budgets, not the roster; budgets beyond that limit of Spark's rank in hash blocks.
     """
     size = roster.groupBy(stratum).agg(F.count("*").alias("n_total"))
     sizes = None
@@ -109,9 +114,14 @@ def budget_draws(roster: DataFrame, stratum: str, cluster: str, budgets: Sequenc
         one = allocation(size, b, stratum).withColumn("budget", F.lit(b))
         sizes = one if sizes is None else sizes.unionByName(one)
     plan = sizes.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    drawn = roster.select(stratum, cluster).join(plan, stratum)
+    # The plan has a row per budget, repeat and stratum; a roster of few files is spread first, as each cluster is drawn for all of them.
+    drawn = roster.select(stratum, cluster).repartition(cluster).join(F.broadcast(plan), stratum)
     drawn = drawn.withColumn("_draw", draw60(seed, F.col("budget"), F.col("repeat"), F.col(cluster)))
-    kept = nth_smallest(drawn, ["budget", "repeat", stratum], "_draw", "n_sample", tie=cluster, block=hash_block(F.col("_draw"), 8))
+    if max(budgets) <= GROUP_LIMIT:
+        first = Window.partitionBy("budget", "repeat", stratum).orderBy("_draw", cluster)
+        kept = drawn.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max(budgets)).filter(F.col("_n") <= F.col("n_sample"))
+    else:
+        kept = nth_smallest(drawn, ["budget", "repeat", stratum], "_draw", "n_sample", tie=cluster, block=hash_block(F.col("_draw"), 8))
     return kept.select("budget", "repeat", cluster, (F.col("n_total") / F.col("n_sample")).alias("factor"))
 
 
