@@ -15,6 +15,7 @@ from ..operators import estimators as es
 from ..operators import reconcile as rc
 from ..operators import trajectory as tr
 from .estimate_queries import W
+from ..session import shared
 from .fixtures import candidates, gt_boxes, rays, roster, second_rays, table
 from .geometry_queries import STATE, pairs_of
 from .oracle import inter_sql, rnd, with_tables
@@ -414,7 +415,7 @@ def dataset_identity(spark, sf):
 )
 def assignment_targets(spark, sf):
     """Foreground candidates with their target object and normalised score, one-to-many."""
-    assigned = asg.assign(asg.flag_claims(pairs_of(spark, sf), 10), single=False)
+    assigned = shared(asg.assign(asg.flag_claims(pairs_of(spark, sf), 10), single=False))  # read three times
     scored = asg.target_scores(assigned)
     fore = asg.foreground(assigned)
     return fore.join(scored, ["image_id", "candidate"]).filter("gt_id = target_gt").select("image_id", "candidate", "target_gt", rounded(F.col("target_score")).alias("target_score"))
