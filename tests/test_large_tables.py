@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,9 +11,10 @@ from driftline.functions import boxes as bx
 from driftline.operators import assign as asg
 from driftline.operators import detection as dt
 from driftline.operators import resample as rs
+from driftline.operators import scan
 from driftline.operators import tracks as tk
 from driftline.operators.replicates import first_words
-from driftline.plans import fixtures, source_queries
+from driftline.plans import fixtures, geometry_queries, source_queries
 
 QUERIES = contract.queries()
 
@@ -124,3 +126,26 @@ def test_files_are_written_by_a_task_each(spark, sf, monkeypatch):
     monkeypatch.setattr(source_queries, "table", lambda s, *_: s.range(60_000).withColumnRenamed("id", "o_orderkey"))
     QUERIES["file_scan"](spark, sf)
     assert len(tasks) > 1
+
+
+def test_scan_ranks_the_base_once(spark, sf):
+    """The base pairs are worked out and joined once: one join by cell each for pairs and reach, one of the two, two by object."""
+    truth, cands = geometry_queries.dealt_tables(spark, sf)
+    met = scan.reachable(truth, cands, F.lit(2.0))
+    plan = plan_of(scan.beside_others(met, asg.eligible_pairs(truth, cands)))
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") <= 4 and plan.count("rank#") > 0
+
+
+def test_rays_leave_when_their_events_are_found(monkeypatch):
+    """A ray of 1,025 radii whose events all lie at its beginning is not replayed to its end."""
+    seen, plain = [], scan.states
+    monkeypatch.setattr(scan, "states", lambda *a: seen.append(a[1].size) or plain(*a))
+    flat = {"candidate": np.arange(2), "ord": np.arange(1, 3), "others_one": np.zeros(2, int), "others_many": np.zeros(2, int), "rival_gt": np.full(2, -1)}
+    flat |= {"ax": np.array([20.0, 22.0]), "ay": np.full(2, 20.0), "p": np.array([0.5, 0.5]), "rival_c": np.zeros(2)}
+    flat |= {"x1": np.array([10.0, 12.0]), "x2": np.array([30.0, 32.0]), "y1": np.full(2, 10.0), "y2": np.full(2, 30.0)}
+    c = scan._padded(flat, np.zeros(1, int), np.full(1, 2), np.zeros(1, int), np.zeros(1, int))
+    c.pop("names")
+    out = scan.events(np.array([[10.0, 10.0, 30.0, 30.0]]), np.full(1, 20.0), np.ones(1), 1.0, False, c, 1 / 1024)
+    # Half way between the two candidates, 1 of 20 pixels, the second one takes over.
+    assert [int(out[k][0]) for k in ("o2o_at", "o2o_now", "active", "runner", "pair_at")] == [52, 1, 0, 1, 52]
+    assert sum(seen) < 100
