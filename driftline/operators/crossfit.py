@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import draw60
+from ..session import shared, written
 from .estimators import weighted_quantiles
-from .ordered import positions
-from .replicates import _added, _before, _rows, _schema, _table, combined
+from .ordered import positions, with_blocks
+from .replicates import _added, _before, _rows, _schema, _table, combined, resampled_sums
 from .resample import hash_block
 
 
@@ -233,10 +234,86 @@ def ranked_areas(cells: DataFrame, by: Sequence[str], score: str, block) -> Data
     return _added(parts, by, sums)
 
 
+#: Pieces into which the order of the scores is cut, and rows of a matrix (rows by replicates) in :func:`resampled_areas`.
+PIECES, SLICE = 32, 128
+
+
+def resampled_areas(points: DataFrame, by: Sequence[str], score: str, drawn: DataFrame, stratum: str, cluster: str, *, blocks: int = PIECES, most: int = SLICE) -> DataFrame:
+    """(by, tp, tn, area, ap) as :func:`ranked_areas`, from ``points`` (cluster, by, score, p, n) and the draws of ``replicates.copies``.
+
+    No sums per replicate are stored for a score: what travels with a point are its cluster's packed copies. Points lie in about
+    equally large pieces of the order of scores; only the totals of a piece are added up first, then every piece is read in order,
+    ``most`` rows at a time, whatever its length and however many points share a score.
+    """
+    by = list(by)
+    keys = [*by, "block"]
+    lying = written(with_blocks(points.select(cluster, *by, (-F.col(score)).alias("_down"), "p", "n"), by, "_down", blocks, "block"))
+    totals = shared(resampled_sums(lying, keys, ["p", "n"], drawn, stratum, cluster))
+    ahead = [_before(totals, by, "block", v).withColumnRenamed("offset", f"{v}_before") for v in ("p", "n")]
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    # The row of what lies before a piece comes first in it.
+    heads = ahead[0].join(ahead[1], keys).select(*keys, *none("double", "_down", "p", "n"), *none("binary", "copies"), "p_before", "n_before")
+    rows = lying.join(drawn.select(cluster, "copies"), cluster).select(*keys, "_down", F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"), "copies", *none("binary", "p_before", "n_before"))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.unionByName(heads).repartition(tasks, *keys).sortWithinPartitions(*keys, F.asc_nulls_first("_down"))
+    sums = ("tp", "tn", "area", "ap")
+    schema = _schema(points, by, ", ".join(f"{s} binary" for s in sums))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = open_ = None  # the piece, and its last score with its sums, which the next rows may add to
+        before: list[np.ndarray] = []
+        out: dict[str, np.ndarray] = {}
+
+        def close(p: np.ndarray, n: np.ndarray) -> None:
+            cp, cn = np.cumsum(p, axis=0) + before[0], np.cumsum(n, axis=0) + before[1]
+            precision = np.divide(cp, cp + cn, out=np.zeros_like(cp), where=cp + cn > 0)
+            for name, part in (("tp", p), ("tn", n), ("area", n * (cp - p / 2)), ("ap", p * precision)):
+                out[name] += part.sum(axis=0)
+            before[:] = cp[-1], cn[-1]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if key is not None:
+                if open_ is not None:
+                    close(open_[1][None], open_[2][None])
+                yield from _table({**{c: [v] for c, v in zip(by, key)}, **{k: [v.tobytes()] for k, v in out.items()}}, schema).to_batches()
+
+        for batch in batches:
+            names = list(zip(*[batch.column(c).to_pylist() for c in keys]))
+            at = 0
+            while at < len(names):
+                if names[at] != key:
+                    yield from told()
+                    key, open_ = names[at], None
+                    before = [np.frombuffer(batch.column(c)[at].as_py()) for c in ("p_before", "n_before")]
+                    out = {k: np.zeros(len(before[0])) for k in sums}
+                    at += 1
+                    continue
+                end = at + 1
+                while end < min(len(names), at + most) and names[end] == key:
+                    end += 1
+                part = batch.slice(at, end - at)
+                at = end
+                down, copies = part.column("_down").to_numpy(), _rows(part.column("copies"), np.int16)
+                edges = np.flatnonzero(np.concatenate([[True], np.diff(down) != 0]))
+                p, n = (np.add.reduceat(part.column(c).to_numpy()[:, None] * copies, edges, axis=0) for c in ("p", "n"))
+                if open_ is not None:
+                    if open_[0] == down[0]:
+                        p[0] += open_[1]
+                        n[0] += open_[2]
+                    else:
+                        p, n = np.concatenate([open_[1][None], p]), np.concatenate([open_[2][None], n])
+                if len(p) > 1:
+                    close(p[:-1], n[:-1])
+                open_ = down[-1], p[-1].copy(), n[-1].copy()
+        yield from told()
+
+    return _added(ordered.mapInArrow(run, schema), by, sums)
+
+
 def foldwise(areas: DataFrame, losses: DataFrame, by: Sequence[str], fold: str = "fold") -> DataFrame:
     """(by, metric, values): fold metrics averaged by the fold's weight in the replicate; not a number where a fold lost a class.
 
-    ``areas`` comes from :func:`ranked_areas`, ``losses`` (by, fold, loss) from resampled sums.
+    ``areas`` comes from :func:`ranked_areas` or :func:`resampled_areas`, ``losses`` (by, fold, loss) from resampled sums.
     """
     by = list(by)
     weighted = {

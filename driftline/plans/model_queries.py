@@ -111,8 +111,7 @@ def margin_metrics(spark, sf, reps: int = REPS) -> DataFrame:
     w, y, s = F.col(W), F.col("y"), F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
     key = ["model", "fold"]
     points = each.groupBy(IMAGE, *key, "score").agg(F.sum(w * y).alias("p"), F.sum(w * (1 - y)).alias("n"))
-    cells = written(rp.resampled_sums(points, [*key, "score"], ["p", "n"], drawn, "cell", IMAGE))
-    areas = cf.ranked_areas(cells, key, "score", F.floor(F.col("score") * 16))
+    areas = cf.resampled_areas(points, key, "score", drawn, "cell", IMAGE)
     loss = each.groupBy(IMAGE, *key).agg(F.sum(-w * (y * F.ln(s) + (1 - y) * F.ln(1 - s))).alias("loss"))
     losses = rp.resampled_sums(loss, key, ["loss"], drawn, "cell", IMAGE)
     return written(cf.foldwise(written(areas), losses, ["model"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from driftline.operators import crossfit as cf
 from driftline.operators import replicates as rp
 from driftline.operators import resample as rs
+from driftline.plans import model_queries
 
 W, K = "w", 3
 
@@ -125,3 +126,30 @@ def test_foldwise_metrics_in_every_replicate(frame):
             want += np.array([area * w1.sum(), ap * w1.sum(), ll])
             total += w1.sum()
         assert np.allclose([got[m][rep] for m in ("roc_auc", "pr_auc", "log_loss")], want / total)
+
+
+@pytest.mark.parametrize("blocks,most", [(4, 3), (2, 128)])
+def test_areas_are_read_in_order_of_scores(frame, blocks, most):
+    """Points of one score lie in several slices; the sums equal those of stored cells."""
+    scored = frame.withColumn("score", F.round(F.least(F.greatest(F.col("margin"), F.lit(0.01)), F.lit(0.99)), 1)).withColumn("model", F.lit("m"))
+    cell = F.concat_ws("/", F.col("fold").cast("string"), "stratum")
+    clusters = rs.numbered_clusters(scored.select("image_id", cell.alias("cell")).distinct(), "cell", "image_id", "image_id", block=None)
+    drawn = rp.copies(clusters, "cell", "image_id", 9, 7).cache()
+    w, y, by = F.col(W), F.col("y"), ["model", "fold"]
+    points = scored.groupBy("image_id", *by, "score").agg(F.sum(w * y).alias("p"), F.sum(w * (1 - y)).alias("n"))
+    plain = cf.ranked_areas(rp.resampled_sums(points, [*by, "score"], ["p", "n"], drawn, "cell", "image_id"), by, "score", F.floor(F.col("score") * 5))
+    told = cf.resampled_areas(points, by, "score", drawn, "cell", "image_id", blocks=blocks, most=most)
+    a, b = ({r.fold: r for r in df.collect()} for df in (plain, told))
+    assert len(a) == K and a.keys() == b.keys()
+    for fold, r in a.items():
+        for c in ("tp", "tn", "area", "ap"):
+            assert np.allclose(np.frombuffer(r[c]), np.frombuffer(b[fold][c]), rtol=1e-9)
+
+
+def test_no_replicate_sums_by_score(spark, sf, monkeypatch):
+    """A thousand sums are kept for a fold or a piece of it, not for every distinct score."""
+    seen, plain = [], rp.resampled_sums
+    for module in (rp, cf):
+        monkeypatch.setattr(module, "resampled_sums", lambda stats, by, *a: seen.append(list(by)) or plain(stats, by, *a), raising=False)
+    model_queries.margin_metrics(spark, sf, 5)
+    assert len(seen) == 2 and not any("score" in by for by in seen)
