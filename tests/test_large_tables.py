@@ -1,6 +1,7 @@
 """Plans that stay bounded on large tables: what is broadcast, stored and exchanged."""
 
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ import __spark_entry__ as contract
 from driftline.functions import boxes as bx
 from driftline.operators import assign as asg
 from driftline.operators import detection as dt
+from driftline.operators import linking as lk
 from driftline.operators import resample as rs
 from driftline.operators import scan
 from driftline.operators import tracks as tk
@@ -149,3 +151,27 @@ def test_rays_leave_when_their_events_are_found(monkeypatch):
     # Half way between the two candidates, 1 of 20 pixels, the second one takes over.
     assert [int(out[k][0]) for k in ("o2o_at", "o2o_now", "active", "runner", "pair_at")] == [52, 1, 0, 1, 52]
     assert sum(seen) < 100
+
+
+def test_crowded_frames_meet_in_pieces(monkeypatch):
+    """Boxes of a crowded frame are not met all by all, and the pairs are those of the dense matrix."""
+    rng = np.random.default_rng(3)
+    tracks = [{"mean": np.array([x, y, 1.0, 20.0])} for x, y in rng.uniform(0, [6000, 100], (700, 2))]
+    boxes = np.column_stack([rng.uniform(0, 6000, 800), rng.uniform(0, 100, 800), np.full((800, 2), 20.0)])
+    conf = rng.uniform(0.3, 1, 800)
+    gain = np.maximum(0.8 - (1.0 - lk._iou(lk._boxes(tracks), boxes) * conf), 0.0)
+    sizes, plain = [], lk._iou
+    monkeypatch.setattr(lk, "_iou", lambda a, b: sizes.append(len(a) * len(b)) or plain(a, b))
+    pairs, left, right = lk._associate(tracks, boxes, conf, 0.8)
+    assert pairs == lk.optimal_pairs(gain) and len(pairs) > 100 and len(left) == 700 - len(pairs) and len(right) == 800 - len(pairs)
+    assert sum(sizes) < 700 * 800 / 2
+
+
+def test_pairs_of_equal_gains_are_optimal():
+    """Rows that tie for the same columns: the total is that of the best of all permutations."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        gain = rng.integers(0, 3, (5, 6)) / 4
+        best = max(sum(gain[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(6), 5))
+        pairs = lk.optimal_pairs(gain)
+        assert sum(gain[i, j] for i, j in pairs) == best and len({j for _, j in pairs}) == len(pairs)
