@@ -151,7 +151,11 @@ def stable_objects(directional: DataFrame, keys: Sequence[str], changed: Column,
 
 
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, probs: Sequence[float], *, block: int | None = None) -> DataFrame:
-    """Inverse-CDF quantiles: the first value whose cumulative weight reaches p times the total. One row per group."""
+    """Inverse-CDF quantiles: the first value whose cumulative weight reaches p times the total. One row per group.
+
+    Of many rows the running sum may end below the total by rounding: a share that no value reaches then is the last value of
+    positive weight.
+    """
     by = list(by)
     points = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     cum = running_sums(points, by, value, {"_cum": F.col("_w")}, block=block)
@@ -160,8 +164,9 @@ def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str
         cum = cum.join(points.groupBy(*by).agg(F.sum("_w").alias("_total")), by)
     else:
         cum = cum.withColumn("_total", points.agg(F.sum("_w").alias("_total")).scalar())
+    last = F.max(F.when(F.col("_w") > 0, F.col(value)))
     return cum.groupBy(*by).agg(
-        *[F.min(F.when(F.col("_cum") >= F.lit(p) * F.col("_total") - F.lit(1e-9), F.col(value))).alias(n) for p, n in zip(probs, names)]
+        *[F.coalesce(F.min(F.when(F.col("_cum") >= F.lit(p) * F.col("_total") - F.lit(1e-9), F.col(value))), last).alias(n) for p, n in zip(probs, names)]
     )
 
 

@@ -101,6 +101,15 @@ def test_weighted_quantiles(spark):
         assert (r["q10"], r["q50"], r["q90"]) == (2.0, 6.0, 9.0)
 
 
+def test_whole_share_despite_rounding(spark):
+    """Running sums of large weights end above or below the total of the same weights."""
+    df = spark.range(60_000).select((F.col("id") % 300).alias("g"), F.floor(F.col("id") / 300).cast("double").alias("v"), (F.rand(1) * 1e9 + 1).alias("w"))
+    df = df.unionByName(df.select("g", F.lit(500.0).alias("v"), F.lit(0.0).alias("w"))).cache()
+    for block in (None, 3):
+        got = {r["q100"] for r in es.weighted_quantiles(df, ["g"], "v", "w", (0.5, 1.0), block=block).collect()}
+        assert got == {199.0}
+
+
 def test_wls_against_numpy(spark):
     import numpy as np
 
