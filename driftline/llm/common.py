@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,29 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/driftline-{app}"
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+#: Rows of megabytes: Parquet looks at a page's size after each row, not after a hundred, and a row group has few of them.
+LARGE_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.block.row.count.limit": 8}
+
+
+def stored(df: DataFrame, codec: str = "zstd", options: Mapping[str, int] | None = None) -> DataFrame:
     """Write to the shared folder and read again: a cut in the lineage that outlives executors."""
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """What runs inside sends Python batches of about ``most`` bytes, one row at least; Spark's own limit is 64 MB a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,8 @@ them. If ``top`` phrases or more survive, ties included, the language is done; e
 the next wave starts, down to zero.
 
 Which phrases a pass counts is marked in bitmaps of 2^``bits`` bits, hashed by language and words: that is all a task gets, 2 MB
-each, whatever the vocabulary's size. A false hit counts a phrase more than needed and changes no result.
+each, whatever the vocabulary's size. A false hit counts a phrase more than needed and changes no result. Texts and slabs are sent
+to Python in batches of 8 MB or one row, and slabs are written and read eight at a time, however large a task's share is.
 
 Null texts count as empty; null languages are ``und``. Texts of any length are read whole, one makes at least one slab. Repeated
 rows count again; doc_id and further columns are not read. Tables without a candidate, and empty ones, give an empty result.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import LARGE_ROWS, slices, small_batches, stored
 
 #: A-Z to a-z, tab to space, and what ends a piece to a line break.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
@@ -195,7 +196,12 @@ def ranked_score(found: DataFrame, wanted: Column) -> DataFrame:
 
 def collocations(docs: DataFrame, top: int = 2000, least: int = 30, share: int = 80, bits: int = 24, size: int = 8 << 20) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two to four words of each language of ``docs`` (lang, text)."""
-    read = stored(slabs(docs, size))
+    with small_batches(docs.sparkSession):  # all passes run here
+        return _collocations(docs, top, least, share, bits, size)
+
+
+def _collocations(docs: DataFrame, top: int, least: int, share: int, bits: int, size: int) -> DataFrame:
+    read = stored(slabs(docs, size), options=LARGE_ROWS)
     every = counted(read, 1, 1, [])
     single = stored(every)
     total = single.groupBy("lang").agg(F.sum("c").alias("n"))

@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from driftline.llm import phrases
@@ -71,3 +74,28 @@ def test_score_is_exact_beyond_64_bits(spark):
     a, total = 10**14 + 7, 3 * 10**14 + 1
     row = spark.createDataFrame([(a, total)], "a long, t long").select(phrases.score("a", F.col("t")).alias("s")).head()
     assert row.s == 2000000 * a // total
+
+
+def test_slabs_are_read_in_parts(spark, monkeypatch):
+    """A task's slabs don't reach Python in one batch, nor lie in one row group."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, 60_000)) for _ in range(80)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    seen, run = [], phrases.counted
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def spy(read, *rest):
+        if not seen:
+            groups = sum(pq.ParquetFile(f.removeprefix("file:")).metadata.num_row_groups for f in read.inputFiles())
+            seen.append((groups, [r.n for r in read.mapInArrow(sizes, "n long").collect()]))
+        return run(read, *rest)
+
+    monkeypatch.setattr(phrases, "counted", spy)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert phrases.collocations(docs, top=5, least=1 << 20, size=1 << 17).count() == 0
+    (groups, batches), = seen
+    assert groups > 1 and sum(batches) > 16 << 20 and max(batches) < 9 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
