@@ -20,7 +20,7 @@ from ..functions.text import draw60
 from ..session import shared, written
 from .estimators import weighted_quantiles
 from .ordered import positions, with_blocks
-from .replicates import _added, _before, _rows, _schema, _table, combined, resampled_sums
+from .replicates import _added, _before, _rows, _schema, _table, combined, copies_of, resampled_sums
 from .resample import hash_block
 
 
@@ -247,13 +247,14 @@ def resampled_areas(points: DataFrame, by: Sequence[str], score: str, drawn: Dat
     """
     by = list(by)
     keys = [*by, "block"]
+    kind = "packed" if "packed" in drawn.columns else "copies"
     lying = written(with_blocks(points.select(cluster, *by, (-F.col(score)).alias("_down"), "p", "n"), by, "_down", blocks, "block"))
     totals = shared(resampled_sums(lying, keys, ["p", "n"], drawn, stratum, cluster))
     ahead = [_before(totals, by, "block", v).withColumnRenamed("offset", f"{v}_before") for v in ("p", "n")]
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     # The row of what lies before a piece comes first in it.
-    heads = ahead[0].join(ahead[1], keys).select(*keys, *none("double", "_down", "p", "n"), *none("binary", "copies"), "p_before", "n_before")
-    rows = lying.join(drawn.select(cluster, "copies"), cluster).select(*keys, "_down", F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"), "copies", *none("binary", "p_before", "n_before"))
+    heads = ahead[0].join(ahead[1], keys).select(*keys, *none("double", "_down", "p", "n"), *none("binary", kind), "p_before", "n_before")
+    rows = lying.join(drawn.select(cluster, kind), cluster).select(*keys, "_down", F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"), kind, *none("binary", "p_before", "n_before"))
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.unionByName(heads).repartition(tasks, *keys).sortWithinPartitions(*keys, F.asc_nulls_first("_down"))
     sums = ("tp", "tn", "area", "ap")
@@ -293,7 +294,7 @@ def resampled_areas(points: DataFrame, by: Sequence[str], score: str, drawn: Dat
                     end += 1
                 part = batch.slice(at, end - at)
                 at = end
-                down, copies = part.column("_down").to_numpy(), _rows(part.column("copies"), np.int16)
+                down, copies = part.column("_down").to_numpy(), copies_of(part.column(kind), kind)
                 edges = np.flatnonzero(np.concatenate([[True], np.diff(down) != 0]))
                 p, n = (np.add.reduceat(part.column(c).to_numpy()[:, None] * copies, edges, axis=0) for c in ("p", "n"))
                 if open_ is not None:

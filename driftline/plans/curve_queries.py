@@ -24,7 +24,7 @@ STRATUM, IMAGE = "stratum", "image_id"
 def drawn(spark, sf, reps: int = REPS, seed: int = SEED) -> DataFrame:
     """Multiplicities of every image as one array, read by all statistics of a query."""
     clusters = rs.numbered_clusters(roster(spark, sf), STRATUM, IMAGE, "dataset_index", block=F.floor(F.col("dataset_index") / 4096))
-    return shared(rp.copies(clusters, STRATUM, IMAGE, reps, seed))
+    return shared(rp.copies(clusters, STRATUM, IMAGE, reps, seed, packed=True))
 
 
 def replicated_curves(spark, sf, causes, cause, grid, taus, estimands=("o2o", "o2m")) -> DataFrame:

@@ -107,7 +107,7 @@ def margin_metrics(spark, sf, reps: int = REPS) -> DataFrame:
     each = written(scored.select(IMAGE, "stratum", "fold", "y", W, longer).select(IMAGE, "stratum", "fold", "y", W, "_m.*"))
     cell = F.concat_ws("/", F.col("fold").cast("string"), "stratum")
     clusters = rs.numbered_clusters(rows.select(IMAGE, cell.alias("cell")).distinct(), "cell", IMAGE, IMAGE, block=None)
-    drawn = written(rp.copies(clusters, "cell", IMAGE, reps, SEED + 1000))
+    drawn = written(rp.copies(clusters, "cell", IMAGE, reps, SEED + 1000, packed=True))
     w, y, s = F.col(W), F.col("y"), F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
     key = ["model", "fold"]
     points = each.groupBy(IMAGE, *key, "score").agg(F.sum(w * y).alias("p"), F.sum(w * (1 - y)).alias("n"))

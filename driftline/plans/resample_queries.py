@@ -36,7 +36,7 @@ def mult_sql(reps: int, seed: int = SEED, name: str = "") -> dict[str, str]:
 def drawn(spark, sf, reps: int, seed: int = SEED) -> DataFrame:
     """Multiplicities of every image as one array."""
     clusters = rs.numbered_clusters(roster(spark, sf), "stratum", "image_id", "dataset_index", block=F.floor(F.col("dataset_index") / 4096))
-    return shared(rp.copies(clusters, "stratum", "image_id", reps, seed))
+    return shared(rp.copies(clusters, "stratum", "image_id", reps, seed, packed=True))
 
 
 def resampled_ratios(stats: DataFrame, multiplicity: DataFrame, by) -> DataFrame:
