@@ -106,8 +106,7 @@ def bootstrap_spearman(spark, sf):
     """Bootstrap interval of the weighted rank correlation; weights times copies are re-ranked in every replicate."""
     by = ["size_bin", "margin", "o2o_radius"]
     stats = rays(spark, sf).filter("o2o_event_observed = 1").groupBy(IMAGE, *by).agg(F.sum(W).alias("w"))
-    cells = rp.resampled_sums(stats, by, ["w"], drawn(spark, sf), STRATUM, IMAGE)
-    values = rp.spearman(cells, ["size_bin"], "margin", "o2o_radius", F.floor(F.col("margin") * 16))
+    values = rp.resampled_spearman(shared(stats), ["size_bin"], "margin", "o2o_radius", "w", drawn(spark, sf), STRATUM, IMAGE, F.floor(F.col("margin") * 16))
     return _round_all(rp.intervals(values, ["size_bin"]))
 
 
