@@ -1,6 +1,7 @@
 """Beyond former limits: long claim lists, many queries, wide boxes, many categories; and frames without detections."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -86,3 +87,40 @@ def test_gaps_up_to_the_buffer_keep_a_track():
         out, state = steps([(1, [a]), (2, [a]), (2 + gap, [a])], rules)
         kept = out[2 + gap] == [(0, 1)]
         assert kept == (gap <= rules.buffer + 1), gap
+
+
+def test_possible_pairs_beyond_memory(monkeypatch):
+    """In a crowd nearly all pairs are possible; those that aren't held are worked out anew, with equal pairs."""
+    rng = np.random.default_rng(8)
+    n = 250
+    a = np.column_stack([rng.uniform(0, 12, (n, 2)), rng.uniform(18, 22, (n, 2))])
+    b, conf = a[rng.permutation(n)] + rng.normal(0, 1.0, (n, 4)), rng.uniform(0.3, 1.0, n)
+    tracks = [{"mean": np.array([x, y, w / h, h, 0, 0, 0, 0])} for x, y, w, h in a]
+    want = lk._associate(tracks, b, conf, 0.8)
+    row, col, iou = (np.concatenate(x) for x in zip(*lk._overlaps(lk._boxes(tracks), b)))
+    gain = 0.8 - (1.0 - iou * conf[col])
+    row, col, gain = row[gain > 0], col[gain > 0], gain[gain > 0]
+    order = np.lexsort((col, row))
+    assert want[0] == lk.best_pairs(n, n, row[order], col[order], gain[order])
+    monkeypatch.setattr(lk, "PAIRS", 5000)
+    assert lk._associate(tracks, b, conf, 0.8) == want
+    # Two million pairs and more, of which few are held: nothing grows with them.
+    tracemalloc.start()
+    crowd = lk._Possible(np.tile(a, (8, 1)), np.tile(b, (8, 1)), np.tile(conf, 8), 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert crowd.size.sum() > 2_000_000 and sum(len(c) for c, _ in crowd.held.values()) <= 5000 and most < 80 << 20
+
+
+def test_rows_worked_out_are_those_held(monkeypatch):
+    rng = np.random.default_rng(9)
+    a = np.column_stack([rng.uniform(-50, 50, (120, 2)), rng.uniform(1, 30, (120, 2))])
+    b, conf = np.column_stack([rng.uniform(-50, 50, (90, 2)), rng.uniform(1, 30, (90, 2))]), rng.uniform(0.1, 1.0, 90)
+    for limit in (0.5, 0.99, 1.2):
+        held = lk._Possible(a, b, conf, limit)
+        monkeypatch.setattr(lk, "PAIRS", 0)
+        bare = lk._Possible(a, b, conf, limit)
+        monkeypatch.undo()
+        assert not bare.held and held.size.tolist() == bare.size.tolist() == [len(bare.of(i)[0]) for i in range(120)]
+        for i in held.held:
+            assert all(x.tolist() == y.tolist() for x, y in zip(held.of(i), bare.of(i)))
